@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import op8_multinomial_block_mixing
+from .packing import op2_hilbert_curve_packing
 from .sharding import op1_min_cost_flow_resharding
+from .tokencount import op6_token_length_histogram
 
 QUERIES = {
     "op1_min_cost_flow_resharding": op1_min_cost_flow_resharding,
+    "op2_hilbert_curve_packing": op2_hilbert_curve_packing,
+    "op6_token_length_histogram": op6_token_length_histogram,
+    "op8_multinomial_block_mixing": op8_multinomial_block_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
