@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from . import topk
+from .langid import op10_crf_language_id
 from .mixing import op8_multinomial_block_mixing
 from .packing import op2_hilbert_curve_packing
+from .quality import op7_line_first_cleaning
+from .secretscan import op9_entropy_secret_scan
 from .sharding import op1_min_cost_flow_resharding
 from .tokencount import op6_token_length_histogram
 
 QUERIES = {
     "op1_min_cost_flow_resharding": op1_min_cost_flow_resharding,
     "op2_hilbert_curve_packing": op2_hilbert_curve_packing,
+    "op5_threshold_top_k": topk.op5_threshold_top_k,
     "op6_token_length_histogram": op6_token_length_histogram,
+    "op7_line_first_cleaning": op7_line_first_cleaning,
     "op8_multinomial_block_mixing": op8_multinomial_block_mixing,
+    "op9_entropy_secret_scan": op9_entropy_secret_scan,
+    "op10_crf_language_id": op10_crf_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_threshold_top_k": topk.SQL}
