@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a bulky intermediate as Parquet to the shared folder and read it back.
+
+    Like cut(), but columnar and compressed. The files go when the program ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Delete what materialize() has written, while the session still runs."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        with contextlib.suppress(Exception):  # the session may have gone
+            spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def crc32_of(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

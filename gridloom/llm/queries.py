@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import topk
+from .jaccard import op3_heavy_light_jaccard_join
 from .langid import op10_crf_language_id
 from .mixing import op8_multinomial_block_mixing
 from .packing import op2_hilbert_curve_packing
@@ -14,6 +15,7 @@ from .tokencount import op6_token_length_histogram
 QUERIES = {
     "op1_min_cost_flow_resharding": op1_min_cost_flow_resharding,
     "op2_hilbert_curve_packing": op2_hilbert_curve_packing,
+    "op3_heavy_light_jaccard_join": op3_heavy_light_jaccard_join,
     "op5_threshold_top_k": topk.op5_threshold_top_k,
     "op6_token_length_histogram": op6_token_length_histogram,
     "op7_line_first_cleaning": op7_line_first_cleaning,
