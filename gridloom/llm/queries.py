@@ -10,12 +10,14 @@ from .packing import op2_hilbert_curve_packing
 from .quality import op7_line_first_cleaning
 from .secretscan import op9_entropy_secret_scan
 from .sharding import op1_min_cost_flow_resharding
+from .suffix import op4_prefix_doubling_dedup
 from .tokencount import op6_token_length_histogram
 
 QUERIES = {
     "op1_min_cost_flow_resharding": op1_min_cost_flow_resharding,
     "op2_hilbert_curve_packing": op2_hilbert_curve_packing,
     "op3_heavy_light_jaccard_join": op3_heavy_light_jaccard_join,
+    "op4_prefix_doubling_dedup": op4_prefix_doubling_dedup,
     "op5_threshold_top_k": topk.op5_threshold_top_k,
     "op6_token_length_histogram": op6_token_length_histogram,
     "op7_line_first_cleaning": op7_line_first_cleaning,
