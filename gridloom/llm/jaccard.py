@@ -313,5 +313,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(parts, "a", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+
+    Of rows that share doc_id and text one stays. Documents without words are in no group and stay.
+    """
+    keep = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op3_heavy_light_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))

@@ -7,12 +7,15 @@ all shards, and number j takes block permutation(j mod blocks) of pass j div blo
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load
+from .common import WORD, cut, load, materialize
 
 #: Words of a block, slots of an output shard, most passes over a source, hash buckets of a source.
 BLOCK, SLOTS, PASSES, BUCKETS = 64, 1 << 16, 3, 512
@@ -62,8 +65,8 @@ def draw_counts(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndar
     return sure
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def taken_blocks(source_rows: list, seed: int, spark: SparkSession) -> DataFrame:
@@ -93,17 +96,17 @@ def taken_blocks(source_rows: list, seed: int, spark: SparkSession) -> DataFrame
     return slot.select("k", place(F.col("j") % F.col("blocks"), "blocks", "k").alias("block"), F.floor(F.col("j") / F.col("blocks")).cast("int").alias("pass"))
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 8) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 8, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    docs: doc_id, text, source. documents: uid, doc_id, source, size, source_size, target, taken, a
+    docs: doc_id, text, source, and if numbered a unique long uid. documents: uid, doc_id, source, size, source_size, target, taken, a
     row for every row of docs. pieces: uid, pass, lo, hi: words lo to hi of a document that the mix
     takes in that pass. Sources in code point order, null last and a source of its own, have the
     weights in turn. A text without words, or null, has size 0 and nothing taken. One row per source
     reaches the driver. An empty table gives empty results.
     """
     spark = docs.sparkSession
-    rows = cut(sized(docs).withColumn("uid", F.monotonically_increasing_id()))
+    rows = cut(sized(docs, "uid") if numbered else sized(docs).withColumn("uid", F.monotonically_increasing_id()))
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).collect()
     goal = targets([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))])
     source = spark.createDataFrame([(k, r["source"], r["size"], t) for k, (r, t) in enumerate(zip(found, goal))], "k int, source string, source_size long, target double")
@@ -127,6 +130,42 @@ def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 8) -> tuple[DataFrame, D
     return documents, pieces
 
 
+def mixed_documents(docs: DataFrame, weights=(1, 2, 3), seed: int = 8) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each document and pass that takes words
+    of it, its text being those words as they stand (parts that do not touch joined by a line break),
+    n_chars made to fit if present. Documents of which nothing is taken are not in the mix."""
+    numbered = materialize(docs.withColumn("uid", F.monotonically_increasing_id()))
+    size = len(docs.columns)
+    _, pieces = mix(numbered.select("uid", "doc_id", "text", "source"), weights, seed, numbered=True)
+    taken = pieces.groupBy("uid", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("taken"))  # as many as a text has blocks
+    rows = numbered.join(taken, "uid").select(*docs.columns, F.col("taken").alias("taken pieces"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                names = part.schema.names[:size]
+                texts = [excerpt(t, p) for t, p in zip(part.column(names.index("text")).to_pylist(), part.column(size).to_pylist())]
+                new = {"text": texts, "n_chars": [len(t) for t in texts]}
+                yield pa.RecordBatch.from_arrays([pa.array(new[c], part.schema.field(i).type) if c in new else part.column(i) for i, c in enumerate(names)], names)
+
+    return rows.mapInArrow(run, docs.schema)
+
+
+def excerpt(text: str, taken: list[dict]) -> str:
+    """Words lo to hi of each piece, as they stand in the text; pieces in order."""
+    spans = [m.span() for m in re.finditer(WORD, text)]
+    merged: list[list[int]] = []
+    for p in taken:
+        if merged and merged[-1][1] == p["lo"]:
+            merged[-1][1] = p["hi"]
+        else:
+            merged.append([p["lo"], p["hi"]])
+    if merged == [[0, len(spans)]]:
+        return text
+    return "\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in merged)
+
+
 def op8_multinomial_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(load(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -127,5 +127,23 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {t}" for c, t in zip(COLUMNS[:width], TYPES)))
 
 
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, without their failing lines: same columns, n_chars to fit if present."""
+    kinds, names = docs.schema, docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                judged = [judge(t) for t in part.column(names.index("text")).to_pylist()]
+                part = part.filter(pa.array([j[6] for j in judged], pa.bool_()))
+                texts = [j[-1] for j in judged if j[6]]
+                new = {"text": pa.array(texts, pa.string()), "n_chars": [len(t) for t in texts]}
+                columns = [pa.array(new[c], part.schema.field(i).type) if c in new else part.column(i) for i, c in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, kinds)
+
+
 def op7_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(load(spark, sf_dir, "documents"), with_text=False)

@@ -121,7 +121,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of its texts replaced by ``mark``; overlapping spans become one."""
+    """``docs`` with every secret of its texts replaced by ``mark``; overlapping spans become one, n_chars is made to fit if present."""
     scanned = scan(docs)
 
     def step(acc, s):
@@ -131,7 +131,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text")))
     clean = F.aggregate("secret_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, rest)
-    return scanned.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).drop("secret_base", "secret_spans")
+    out = scanned.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).drop("secret_base", "secret_spans")
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def op9_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
