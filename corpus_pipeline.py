@@ -1,8 +1,56 @@
-"""The corpus pipeline (under construction)."""
+"""The corpus pipeline: clean, near-deduplicate, redact, mix and pack the documents.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
+DataFrame; run() writes each result as Parquet and reads it back as the next stage's docs. All stages
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from public_tokenizers import path as vocabulary
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm.common import load, materialize
+from gridloom.llm.jaccard import keep_one
+from gridloom.llm.mixing import mixed_documents
+from gridloom.llm.packing import pack_along_curve
+from gridloom.llm.quality import keep_clean
+from gridloom.llm.secretscan import redact
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and so do documents that the quality rules reject."""
+    return keep_clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are taken to their target weights, in blocks of words."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed along the Hilbert curve into sequences of 2048 ids."""
+    return pack_along_curve(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+
+#: Tokenizing and the mix's permutations are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
