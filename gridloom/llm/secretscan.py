@@ -137,5 +137,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def op9_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    counted = [F.size(F.filter("secret_base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{KINDS[r]}") for r in range(3)]
-    return found.select("doc_id", *counted, F.sha2(listed(F.col("secret_base")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+    number = lambda rank: F.size(F.filter("secret_base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
+    return found.select("doc_id", *map(number, range(3)), F.sha2(listed(F.col("secret_base")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
