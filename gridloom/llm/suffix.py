@@ -10,7 +10,8 @@ Those anchors are sampled positions: about one in forty, at the same places in e
 3. The different runs that are left of a rank are doubled: positions are ranked by SEED bytes, then
    by pairs of ranks at offsets SEED, 2 SEED, ... up to LENGTH, each time without the unique ones. Of
    equal ranks at LENGTH all but the earliest position repeat. A task holds the runs of many ranks at
-   a time; a rank with more than CROWD different runs is doubled by Spark from position rows.
+   a time. A rank with more than CROWD different runs is dealt out by the bytes before the seed and
+   by those after it, and should that leave crowds too, by position.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ SLICE, CROWD, BATCH = 1 << 21, 4096, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: q, q - lo and q - hi of an anchor's run share a long with 16 bits of the text's checksum.
 SMALL, MASK = 7, 127
+#: Bytes before a seed by which a crowded rank is made finer; the other way is by those after it.
+LEFT, MASK64 = (LENGTH - SEED) // 2, (1 << 64) - 1
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -186,7 +190,8 @@ def rerank(rows: DataFrame) -> DataFrame:
     def table(kind, *columns):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "h", "doc", "run"])
 
-    ordered = rows.repartition("h").sortWithinPartitions("h", "u", "doc", "run")
+    where = F.when(F.col("kind") == 1, F.xxhash64("doc", "run")).otherwise(F.col("h"))  # known repeats need not meet
+    ordered = rows.repartition(where).sortWithinPartitions("h", "u", "doc", "run")
     return ordered.mapInArrow(stream, "kind int, h long, doc long, run long")
 
 
@@ -281,26 +286,51 @@ def intervals(doc, check, where):
     return d[first], c[first], w[first], w[last]
 
 
-def doubled(runs: DataFrame) -> DataFrame:
-    """doc, check, lo, hi: start positions in the open runs that repeat an earlier one."""
+def halves(h: int, run: int, piece: bytes):
+    """The ranks among which a run of a crowded rank meets all others that share a string with it.
+
+    Strings of LENGTH bytes around equal seeds also agree in LEFT bytes before the seed, or in what
+    LEFT leaves of LENGTH after it.
+    """
+    at = int(place(run)[1])
+    end = at + LENGTH - LEFT
+    if at >= LEFT:
+        yield signed(xxhash.xxh3_64_intdigest(piece[at - LEFT : at], h & MASK64))
+    if len(piece) >= end:
+        yield signed(xxhash.xxh3_64_intdigest(piece[at + SEED : end], ~h & MASK64))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def double_once(runs: DataFrame, again: bool) -> DataFrame:
+    """kind, doc, check, lo, hi, a, b, bytes of runs (h, doc, run, bytes).
 
-    def out(kind, doc, check, lo, hi, a=None, b=None):
+    Kind 0: start positions lo to hi repeat an earlier one. The runs of a rank with more than CROWD
+    are given back instead: again, as runs of finer ranks (kind 1: a the rank, b the run); else by
+    position (kind 2: lo, with the ranks of its two halves as a and b).
+    """
+
+    def out(kind, doc, check, lo, hi, a=None, b=None, pieces=None):
         none = np.zeros(len(doc), np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (doc, check, lo, hi)), *(pa.array(none if x is None else x.view(np.int64)) for x in (a, b))],
-            ["kind", "doc", "check", "lo", "hi", "a", "b"],
-        )
-
-    def crowded(doc, run, pieces):
-        """A row for each position with its halves' ranks, for Spark to sort."""
-        sizes = np.array([len(p) for p in pieces])
+        columns = [np.full(len(doc), kind, np.int32), *(none if x is None else np.asarray(x).view(np.int64) for x in (doc, check, lo, hi, a, b))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(doc), pa.binary()) if pieces is None else pa.array(pieces, pa.binary())], ["kind", "doc", "check", "lo", "hi", "a", "b", "bytes"])
+
+    def crowded(h, doc, run, pieces):
+        if again:
+            finer = [(d, k, r, p) for d, r, p in zip(doc, run, pieces) for k in halves(h, r, p)]
+            docs, keys, rows, parts = zip(*finer)
+            none = np.zeros(len(finer), np.int64)
+            return out(1, np.array(docs, np.int64), none, none, none, np.array(keys, np.int64), np.array(rows, np.int64), parts)
+        doc, run, sizes = np.array(doc), np.array(run), np.array([len(p) for p in pieces])
         first, starts = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
         row = np.repeat(np.arange(len(pieces)), starts)
         pos = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + first[row]
         roll = Rolling(np.frombuffer(b"".join(pieces), np.uint8))
         q, left, _ = place(run)
         where = (q - left)[row] + pos - first[row]
-        return out(1, doc[row], (run >> 46)[row], where, where, roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2))
+        return out(2, doc[row], (run >> 46)[row], where, where, roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2))
 
     def stream(batches):
         held: list[list] = [[], [], [], []]
@@ -308,39 +338,42 @@ def doubled(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(4):
                 held[i] += batch.column(i).to_pylist()
-            while True:
+            while held[0]:
                 h = held[0]
                 if crowd is not None:
                     n = next((i for i, x in enumerate(h) if x != crowd), len(h))
                     if n:
-                        yield crowded(np.array(held[1][:n]), np.array(held[2][:n]), held[3][:n])
+                        yield crowded(crowd, *(x[:n] for x in held[1:]))
                         held = [x[n:] for x in held]
-                    crowd = None if held[0] else crowd
-                    if not held[0]:
-                        break
+                    if held[0]:
+                        crowd = None
                     continue
                 last = len(h)
                 while last and h[last - 1] == h[-1]:
                     last -= 1  # the last rank may go on
-                if len(h) - last > CROWD:
-                    if last:
-                        yield out(0, *double_within(np.array(held[1][:last]), np.array(held[2][:last]), held[3][:last]))
-                        held = [x[last:] for x in held]
-                    crowd = held[0][0]
-                    continue
-                if sum(map(len, islice(held[3], last))) >= BATCH:
+                crowds = len(h) - last > CROWD
+                if last and (crowds or sum(map(len, islice(held[3], last))) >= BATCH):
                     yield out(0, *double_within(np.array(held[1][:last]), np.array(held[2][:last]), held[3][:last]))
                     held = [x[last:] for x in held]
-                break
+                if not crowds:
+                    break
+                crowd = held[0][0]
         if held[0]:
             yield out(0, *double_within(np.array(held[1]), np.array(held[2]), held[3]))
 
     ordered = runs.repartition("h").sortWithinPartitions("h", "doc", "run")
-    found = materialize(ordered.mapInArrow(stream, "kind int, doc long, check long, lo long, hi long, a long, b long"))
-    many = found.where("kind = 1")
+    return materialize(ordered.mapInArrow(stream, "kind int, doc long, check long, lo long, hi long, a long, b long, bytes binary"))
+
+
+def doubled(runs: DataFrame) -> DataFrame:
+    """doc, check, lo, hi: start positions in the open runs that repeat an earlier one."""
+    found = double_once(runs, again=True)
+    finer = double_once(found.where("kind = 1").select(F.col("a").alias("h"), "doc", F.col("b").alias("run"), "bytes"), again=False)
+    many = finer.where("kind = 2")
     earliest = many.groupBy("a", "b").agg(F.min(F.struct("doc", "check", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("a", "b", "e")
     later = many.join(earliest, ["a", "b"]).where(F.struct("doc", "check", "lo") != F.col("e"))
-    return found.where("kind = 0").unionByName(later.drop("e")).select("doc", "check", "lo", "hi")
+    within = found.where("kind = 0").unionByName(finer.where("kind = 0"))
+    return within.select("doc", "check", "lo", "hi").unionByName(later.select("doc", "check", "lo", "hi"))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
