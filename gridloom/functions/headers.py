@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import bare_header, norm_header
+from .text import bare_header, col, norm_header
 
 
-def synonym_domain(label: Column | str) -> Column:
-    """Loose: the longest key that a header equals, opens with or closes with; null for none."""
-    n, bare = norm_header(label), bare_header(label)
+def synonym_of(header: Column | str, bare: Column | str) -> Column:
+    """Loose: the longest key that a header equals, opens with or closes with; null for none.
+
+    header, bare: its normalized and its bare form, best as columns computed before: each is read often.
+    """
+    n, b = col(header), col(bare)
     out = F.lit(None).cast("string")
     for key, domain in sorted(V.SYNONYMS, key=lambda s: len(s[0])):  # the longest is tested first
-        hit = (n == key) | F.startswith(n, F.lit(f"{key} ")) | F.endswith(n, F.lit(f" {key}")) | (bare == key)
+        hit = (n == key) | F.startswith(n, F.lit(f"{key} ")) | F.endswith(n, F.lit(f" {key}")) | (b == key)
         out = F.when(hit, F.lit(domain)).otherwise(out)
     return out
 
 
-def column_domain(label: Column | str) -> Column:
-    """Strict: the column whose name a header is; null for none."""
+def column_of(bare: Column | str) -> Column:
+    """Strict: the column whose name a bare header is; null for none."""
     names = F.create_map(*[F.lit(x) for pair in V.SYNONYMS for x in pair])
-    return F.try_element_at(names, bare_header(label))
+    return F.try_element_at(names, col(bare))
+
+
+def synonym_domain(label: Column | str) -> Column:
+    return synonym_of(norm_header(label), bare_header(label))
+
+
+def column_domain(label: Column | str) -> Column:
+    return column_of(bare_header(label))
 
 
 def is_input_subbucket(label: Column | str) -> Column:

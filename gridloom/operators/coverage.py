@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.headers import synonym_domain
-from ..functions.text import WS, char_grams, strip
+from ..functions.headers import synonym_of
+from ..functions.text import WS, bare_header, char_grams, norm_header, strip
 
 
 @F.pandas_udf("string")
@@ -30,22 +30,21 @@ def pages(texts: DataFrame, text: str = "sourceText") -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(body, lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
 
 
-def domains_named(text: Column) -> Column:
-    """Columns that some one, two or three words in a row name, loosely."""
-    words = F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
-    windows = F.flatten(F.transform(words, lambda w, i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))))
-    candidates = F.array_distinct(F.filter(windows, lambda w: F.lower(w).rlike(KEYWORDS)))
-    return F.array_distinct(F.filter(F.transform(candidates, synonym_domain), lambda d: d.isNotNull()))
-
-
 #: Words of which every synonym has one: windows without them need no closer look.
 KEYWORDS = "outcomes|short|medium|long|near|impact|resources|inputs|enablers|activities|interventions|outputs|deliverables|products|reach"
 
 
-def holds_grid(text: Column) -> Column:
-    found = domains_named(text)
-    some = lambda names: F.arrays_overlap(found, F.array(*map(F.lit, names)))
-    return (F.size(found) >= 3) & some(V.STRUCTURE) & some(V.RESULTS)
+def grid_pages(all_pages: DataFrame) -> DataFrame:
+    """doc_id, page of the pages on which one, two or three words in a row name, loosely, three
+    columns or more, one of structure and one of results among them."""
+    words = F.filter(F.split("text", f"{WS}+"), lambda w: w != "")
+    rows = all_pages.select("doc_id", "page", words.alias("words")).withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))))
+    rows = rows.select("doc_id", "page", F.explode(F.array(*[F.array_join(F.slice("words", F.col("at"), F.lit(n)), " ") for n in (1, 2, 3)])).alias("window"))
+    rows = rows.where(F.lower("window").rlike(KEYWORDS)).distinct().withColumns({"header": norm_header("window"), "bare": bare_header("window")})
+    named = rows.select("doc_id", "page", synonym_of("header", "bare").alias("domain")).where("domain is not null")
+    found = named.groupBy("doc_id", "page").agg(F.collect_set("domain").alias("domains"))
+    some = lambda names: F.arrays_overlap("domains", F.array(*map(F.lit, names)))
+    return found.where((F.size("domains") >= 3) & some(V.STRUCTURE) & some(V.RESULTS)).select("doc_id", "page")
 
 
 def own_grams(all_pages: DataFrame) -> DataFrame:
@@ -60,10 +59,10 @@ def uncovered_pages(texts: DataFrame, extracted: DataFrame) -> DataFrame:
     texts: doc_id, sourceText. extracted: doc_id, extracted. A page counts if it is long enough,
     holds a grid, and has enough wording of its own; it is flagged if too little of that came back.
     """
-    found = pages(texts).withColumn("grid", F.when(F.length(strip("text")) >= V.PAGE_LEAST, holds_grid(F.col("text"))).otherwise(F.lit(False)))
-    looked_at = found.where("grid").select("doc_id").distinct()
+    found = pages(texts)
+    gated = grid_pages(found.where(F.length(strip("text")) >= V.PAGE_LEAST))
+    looked_at = gated.select("doc_id").distinct()
     found = found.join(looked_at, "doc_id").withColumn("flat", folded("text")).withColumn("grams", char_grams("flat", folded=True))
-    gated = found.where("grid").select("doc_id", "page")
     own = own_grams(found).join(gated, ["doc_id", "page"])
     claimed = extracted.join(looked_at, "doc_id").select("doc_id", folded("extracted").alias("flat"))
     claimed = claimed.select("doc_id", F.explode(char_grams("flat", folded=True)).alias("gram"), F.lit(1).alias("hit"))

@@ -6,25 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.headers import column_domain, is_input_subbucket, label_of, norm_header, synonym_domain
-from ..functions.text import is_blank, not_blank, strip
+from ..functions.headers import column_of, is_input_subbucket, label_of, synonym_of
+from ..functions.text import bare_header, is_blank, norm_header, not_blank, strip
 from . import coverage
 from .items import extracted_text, groups_of
 
 TEXTS = "cast(array() as array<string>)"
 
 
-def item_count(domain: str) -> Column:
-    return F.aggregate(groups_of(domain), F.lit(0), lambda acc, g: acc + F.size(F.filter(g["items"], lambda i: not_blank(i["text"]))))
-
-
-def total(domains) -> Column:
-    out = F.lit(0)
-    for d in domains:
-        out = out + item_count(d)
-    return out
-
-
 def first_wins(texts: Column, most: int = V.BLOCKERS_MOST) -> Column:
     """Texts without repeats (case aside), nulls and blanks; the first ``most``."""
     known = lambda acc, t: F.exists(acc, lambda a: F.lower(a) == F.lower(t))
@@ -49,16 +38,26 @@ def regions(raw: Column) -> Column:
     return F.slice(F.filter(rows, lambda r, i: F.array_position(keys, key(r)) == i + 1), 1, V.REGIONS_MOST)
 
 
-def section_headers(domains, mapped: bool) -> Column:
-    """Distinct normalized group names, General aside; mapped: those that name some column."""
-
-    def of(d):
-        names = F.transform(groups_of(d), lambda g: F.coalesce(g["name"], F.lit("")))
-        if mapped:
-            names = F.filter(names, lambda n: synonym_domain(n).isNotNull() | (is_input_subbucket(n) if d == "inputs" else F.lit(False)))
-        return F.transform(names, norm_header)
-
-    return F.filter(F.array_distinct(F.flatten(F.array(*map(of, domains)))), lambda h: ~h.isin("", "general"))
+def group_signals(models: DataFrame) -> DataFrame:
+    """A row for each document with a group: items, unmapped items, distinct section headers (General
+    aside), those that name some column, and the groups headed with another column's name."""
+    per_domain = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(i).alias("domain_ord"), groups_of(d).alias("groups")) for i, d in enumerate(V.GROUPED)])
+    rows = models.select("doc_id", F.explode(per_domain).alias("d")).select("doc_id", "d.domain", "d.domain_ord", F.posexplode("d.groups").alias("group_ord", "g"))
+    rows = rows.select(
+        "doc_id", "domain", "domain_ord", "group_ord", F.coalesce("g.name", F.lit("")).alias("name"), F.size("g.items").alias("size"),
+        F.size(F.filter("g.items", lambda i: not_blank(i["text"]))).alias("live"),
+    )
+    rows = rows.withColumns({"header": norm_header("name"), "bare": bare_header("name")})
+    grid = F.col("domain") != V.UNMAPPED
+    names_some = synonym_of("header", "bare").isNotNull() | ((F.col("domain") == "inputs") & is_input_subbucket("name"))
+    section = F.when(~F.col("header").isin("", "general"), F.col("header"))
+    other = grid & F.coalesce(column_of("bare") != F.col("domain"), F.lit(False)) & (F.col("size") > 0)
+    text = F.concat(F.lit(V.BLOCKERS["groupNamesOtherColumn"] + ' ("'), "name", F.lit('" is in '), label_of("domain", V.FIELD_LABELS), F.lit(")"))
+    found = rows.groupBy("doc_id").agg(
+        F.sum("live").alias("s_n"), F.sum(F.when(~grid, F.col("live")).otherwise(0)).alias("s_unmapped"), F.count_distinct(section).alias("s_sections"),
+        F.count_distinct(F.when(grid & names_some, section)).alias("s_mapped"), F.array_sort(F.collect_list(F.when(other, F.struct("domain_ord", "group_ord", text.alias("text"))))).alias("m"),
+    )
+    return found.withColumn("s_misheaded", F.transform("m", lambda x: x["text"])).drop("m")
 
 
 def suggests_mismatch(n: Column, unmapped: Column, sections: Column, mapped: Column, layout: Column) -> Column:
@@ -68,39 +67,24 @@ def suggests_mismatch(n: Column, unmapped: Column, sections: Column, mapped: Col
     return (n >= 6) & (((n >= 8) & (share >= 0.3)) | ((unmapped >= 5) & (sections - mapped >= 2)) | (loose & (share >= 0.15)))
 
 
-def misheaded() -> Column:
-    """Texts for the first two groups that are headed with another column's name."""
-
-    def of(d):
-        hits = F.filter(groups_of(d), lambda g: F.coalesce(column_domain(g["name"]) != d, F.lit(False)) & (F.size(g["items"]) > 0))
-        return F.transform(hits, lambda g: F.concat(F.lit(V.BLOCKERS["groupNamesOtherColumn"] + ' ("'), g["name"], F.lit(f'" is in {V.FIELD_LABELS[d]})')))
-
-    return F.flatten(F.array(*map(of, V.GRID)))
-
-
-def has_content() -> Column:
-    out = total(V.GROUPED) > 0
-    for f in V.OVERVIEW:
-        out = out | not_blank(f"{f}.content")
-    return out
-
-
 def signals(models: DataFrame) -> DataFrame:
-    """``models`` with the signals that the cascade reads, as a struct column ``s``."""
+    """``models`` with the signals that the cascade reads, as columns s_...; one join by doc_id."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in models.columns else F.lit(False)
-    n, unmapped = total(V.GROUPED), item_count(V.UNMAPPED)
+    m = models.join(group_signals(models), "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("s_n", "s_unmapped", "s_sections", "s_mapped")})
+    overview = F.lit(False)
+    for f in V.OVERVIEW:
+        overview = overview | not_blank(f"{f}.content")
     status_known, type_known = F.coalesce(F.col("extractionStatus").isin(*V.STATUSES), F.lit(False)), F.coalesce(F.col("documentTypeAssessment").isin(*V.ASSESSMENTS), F.lit(False))
-    return models.withColumn(
-        "s",
-        F.struct(
-            n.alias("n"), (n - unmapped).alias("grid"), flag("lowLegibility").alias("low"), flag("textOnlyFallback").alias("text_only"),
-            suggests_mismatch(n, unmapped, F.size(section_headers(V.GROUPED, False)), F.size(section_headers(V.GRID, True)), F.col("layoutFamily")).alias("mismatch"),
-            F.coalesce(F.col("layoutFamily") == "unknown", F.lit(False)).alias("unknown_layout"),
-            (~has_content()).alias("no_content"), first_wins(F.col("extractionBlockers")).alias("own"), misheaded().alias("misheaded"),
-            regions(F.col("possiblyMissedRegions")).alias("regions"), status_known.alias("status_known"), type_known.alias("type_known"),
-            F.when(status_known, F.col("extractionStatus")).otherwise("partial").alias("status"),
-            F.when(type_known, F.col("documentTypeAssessment")).otherwise("unclear").alias("type"),
-        ),
+    return m.withColumns(
+        {
+            "s_grid": F.col("s_n") - F.col("s_unmapped"), "s_low": flag("lowLegibility"), "s_text_only": flag("textOnlyFallback"),
+            "s_mismatch": suggests_mismatch(F.col("s_n"), F.col("s_unmapped"), F.col("s_sections"), F.col("s_mapped"), F.col("layoutFamily")),
+            "s_unknown_layout": F.coalesce(F.col("layoutFamily") == "unknown", F.lit(False)), "s_no_content": (F.col("s_n") == 0) & ~overview,
+            "s_own": first_wins(F.col("extractionBlockers")), "s_misheaded": F.coalesce("s_misheaded", F.expr(TEXTS)),
+            "s_regions": regions(F.col("possiblyMissedRegions")), "s_status_known": status_known, "s_type_known": type_known,
+            "s_status": F.when(status_known, F.col("extractionStatus")).otherwise("partial"),
+            "s_type": F.when(type_known, F.col("documentTypeAssessment")).otherwise("unclear"),
+        }
     )
 
 
@@ -109,7 +93,7 @@ def with_uncovered(models: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<int>)")
     if "sourceText" not in models.columns:
         return models.withColumn("uncovered", none)
-    marked = models.where(F.col("sourceText").rlike(r"(?im)^\s*##\s+(page|slide)\s+\d+\s*$") & (F.col("s.n") > 0))
+    marked = models.where(F.col("sourceText").rlike(r"(?im)^\s*##\s+(page|slide)\s+\d+\s*$") & (F.col("s_n") > 0))
     flagged = coverage.uncovered_pages(marked.select("doc_id", "sourceText"), extracted_text(marked))
     flagged = flagged.select("doc_id", F.transform("pages", lambda p: p["page"]).alias("uncovered"))
     return models.join(flagged, "doc_id", "left").withColumn("uncovered", F.coalesce("uncovered", none))
@@ -118,14 +102,15 @@ def with_uncovered(models: DataFrame) -> DataFrame:
 def reconcile(models: DataFrame) -> DataFrame:
     """Status, confidence and reasons from the signals; a status is never made milder."""
     m = with_uncovered(signals(models))
-    s = lambda name: F.col(f"s.{name}")
+    s = lambda name: F.col(f"s_{name}")
     doubtful_type, empty_grid, dense = s("type") != "logic_model", s("n") == 0, s("low") & (s("n") >= 6)
     doubt = (
         s("mismatch") | s("unknown_layout") | doubtful_type | s("text_only") | empty_grid | dense | (F.size(s("own")) > 0) | s("no_content")
         | (F.size(s("regions")) > 0) | (F.size("uncovered") > 0) | (F.size(s("misheaded")) > 0)
     )
     gave_up = s("status") == "abstained"
-    status = F.when((s("status") == "ok") & doubt, "partial").otherwise(s("status"))
+    m = m.withColumn("s_verdict", F.when((s("status") == "ok") & doubt, "partial").otherwise(s("status")))
+    status = s("verdict")
     say = lambda cond, key: F.when(cond, F.lit(V.BLOCKERS[key]))
     type_text = F.when(s("grid") > 0, V.BLOCKERS["noColumnGrid"]).otherwise(V.BLOCKERS["notLogicModel"])
     note = F.nullif(F.col("documentTypeNote"), F.lit(""))
@@ -141,7 +126,9 @@ def reconcile(models: DataFrame) -> DataFrame:
         ),
         F.slice(s("misheaded"), 1, 2),
     )
-    reasons = F.when(gave_up, first_wins(F.concat(F.array(F.lit(V.BLOCKERS["abstained"])), s("own")))).otherwise(first_wins(reasons))
+    m = m.withColumn("s_all", F.when(gave_up, F.concat(F.array(F.lit(V.BLOCKERS["abstained"])), s("own"))).otherwise(reasons))
+    m = m.withColumn("s_reasons", first_wins(F.col("s_all")))
+    reasons = s("reasons")
     confidence = F.when(gave_up | s("no_content"), "low").when((status == "partial") | s("mismatch") | s("unknown_layout") | s("low"), "medium").otherwise("high")
     return m.withColumns(
         {
@@ -151,7 +138,7 @@ def reconcile(models: DataFrame) -> DataFrame:
             "documentTypeAssessment": s("type"),
             "possiblyMissedRegions": F.when(gave_up, F.col("possiblyMissedRegions")).when(F.size(s("regions")) > 0, s("regions")),
         }
-    ).drop("s", "uncovered")
+    ).drop("uncovered", *[c for c in m.columns if c.startswith("s_")])
 
 
 def clamp(models: DataFrame) -> DataFrame:
@@ -203,10 +190,10 @@ def qa_label(needs: Column) -> Column:
 def document_flags(models: DataFrame) -> DataFrame:
     """doc_id, total_items, unmapped_items, qa_status, document_type_flag of each model."""
     m = signals(models)
-    needs = banner(F.col("extractionStatus"), F.col("extractionConfidence")) | F.col("s.mismatch")
+    needs = banner(F.col("extractionStatus"), F.col("extractionConfidence")) | F.col("s_mismatch")
     return m.select(
-        "doc_id", F.col("s.n").alias("total_items"), (F.col("s.n") - F.col("s.grid")).alias("unmapped_items"), qa_label(needs).alias("qa_status"),
-        type_flag(F.col("documentTypeAssessment"), F.col("s.grid")).alias("document_type_flag"),
+        "doc_id", F.col("s_n").alias("total_items"), (F.col("s_n") - F.col("s_grid")).alias("unmapped_items"), qa_label(needs).alias("qa_status"),
+        type_flag(F.col("documentTypeAssessment"), F.col("s_grid")).alias("document_type_flag"),
     )
 
 

@@ -1,6 +1,6 @@
 """The normalization pipeline: shape fixes that never move an item to another column.
 
-All passes work inside a document's arrays, as expressions over its row: nothing is shuffled.
+All passes run over the long form, dealt out by document once; documents are then nested again.
 Their order matters; applying the whole twice changes nothing.
 """
 
@@ -9,15 +9,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.cells import label_of_item, split_cell, trim_colons
-from ..functions.headers import column_domain, is_input_subbucket, synonym_domain
-from ..functions.text import is_blank, norm_text, not_blank, strip
+from ..functions.headers import column_domain, column_of, is_input_subbucket, synonym_of
+from ..functions.text import bare_header, is_blank, norm_header, norm_text, not_blank, strip
 from . import fidelity
-from .items import groups_of
+from .items import EMPTY, items, nest
 
 HEADING = re.compile(V.STATEMENT_HEADING, re.I)
 STOPS = re.compile(V.STATEMENT_STOPS, re.I | re.A)
@@ -75,97 +75,92 @@ def harvested(text: pd.Series) -> pd.Series:
     return text.map(labelled_statement)
 
 
-def promote_labels(groups: Column, domain: str) -> Column:
-    """An ungrouped column of mostly 'Label: rest' items becomes one group per label; the items
-    without one gather in General where the first of them stood."""
-
-    def each(g):
-        parsed = F.transform(g["items"], lambda i: F.struct(i.alias("item"), label_of_item(F.coalesce(i["text"], F.lit(""))).alias("tag")))
-        tagged, rest = F.filter(parsed, lambda p: p["tag"].isNotNull()), F.filter(parsed, lambda p: p["tag"].isNull())
-        first = F.array_position(F.transform(parsed, lambda p: p["tag"].isNull()), True)
-        stays = F.forall(tagged, lambda p: F.coalesce(column_domain(p["tag"]["label"]) == domain, F.lit(True)))
-        distinct = F.size(F.array_distinct(F.transform(tagged, lambda p: F.lower(p["tag"]["label"])))) == F.size(tagged)
-        ungrouped = F.lower(strip(F.coalesce(g["name"], F.lit("")))).isin("", "general")
-        band = (F.size(tagged) >= V.MIN_LABELLED) & (2 * F.size(tagged) >= F.size(parsed))
-        new = lambda name, rows: F.struct(name.alias("name"), rows.alias("items"))
-        regrouped = F.transform(
-            parsed,
-            lambda p, k: F.when(p["tag"].isNotNull(), new(p["tag"]["label"], F.array(p["item"].withField("text", p["tag"]["rest"])))).when(
-                k + 1 == first, new(F.lit("General"), F.transform(rest, lambda r: r["item"]))
-            ),
-        )
-        return F.when(ungrouped & band & distinct & stays, F.filter(regrouped, lambda x: x.isNotNull())).otherwise(F.array(new(g["name"], g["items"])))
-
-    return F.flatten(F.transform(groups, each))
-
-
-def trim_names(groups: Column) -> Column:
-    return F.transform(groups, lambda g: g.withField("name", trim_colons(g["name"])))
-
-
-def split_items(groups: Column) -> Column:
-    """Run-on cells become one item per part, with their parent's attributes."""
-    parts = lambda i: F.coalesce(split_cell(i["text"]), F.array(i["text"]))
-    return F.transform(groups, lambda g: g.withField("items", F.flatten(F.transform(g["items"], lambda i: F.transform(parts(i), lambda t: i.withField("text", t))))))
-
-
-def annotated(item: Column, header: Column, mapped_by: Column, confidence: Column) -> Column:
-    """An item with its header and section where it has none, and who placed it."""
-    fill = not_blank(header) & is_blank(item["sourceHeader"])
-    out = item.withField("sourceSection", F.when(fill, F.coalesce(F.nullif(strip(item["sourceSection"]), F.lit("")), strip(header))).otherwise(item["sourceSection"]))
-    out = out.withField("sourceHeader", F.when(fill, strip(header)).otherwise(item["sourceHeader"]))
-    return out.withField("mappedBy", F.coalesce(item["mappedBy"], mapped_by)).withField("mappingConfidence", F.coalesce(item["mappingConfidence"], confidence))
-
-
-def map_headers(groups: Column, domain: str) -> Column:
-    """Items get their group's header and the reason of their placement; empty groups go."""
+WITHIN = Window.partitionBy("doc_id", "domain", "group_ord")
+IN_GRID = F.col("domain") != V.UNMAPPED
 
-    def each(g):
-        header = F.coalesce(F.nullif(strip(g["name"]), F.lit("")), F.lit("General"))
-        other = F.coalesce(column_domain(header) != domain, F.lit(False))
-        own = F.coalesce(synonym_domain(header) == domain, F.lit(False))
-        bucket = is_input_subbucket(header) if domain == "inputs" else F.lit(False)
-        why = F.when(other, "spatial").when(own, "synonym").when(bucket, "subbucket").otherwise("spatial")
-        shown = F.when(other | own | bucket | (header != "General"), header)
-        rows = F.transform(g["items"], lambda i: F.when(is_blank(i["text"]), i).otherwise(annotated(i, shown, F.lit("auto"), why)))
-        return F.struct(header.alias("name"), rows.alias("items"))
 
-    return F.filter(F.transform(groups, each), lambda g: F.size(g["items"]) > 0)
-
-
-def map_unmapped(groups: Column) -> Column:
-    return F.transform(groups, lambda g: g.withField("items", F.transform(g["items"], lambda i: annotated(i, g["name"], F.lit(None).cast("string"), F.lit("unmapped")))))
-
-
-def keys_of(groups: Column) -> Column:
-    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(g["items"], lambda i: norm_text(F.coalesce(i["text"], F.lit("")))))), lambda k: k != "")
-
-
-def drop_restated(unmapped: Column, grid_keys: Column) -> Column:
-    """Unmapped items that stand in the grid word for word go, and groups that are then empty."""
-    left = F.transform(unmapped, lambda g: g.withField("items", F.filter(g["items"], lambda i: ~F.array_contains(grid_keys, norm_text(F.coalesce(i["text"], F.lit("")))))))
-    return F.when((F.size(grid_keys) > 0) & (F.size(unmapped) > 0), F.filter(left, lambda g: F.size(g["items"]) > 0)).otherwise(unmapped)
-
-
-def boxed(c: Column) -> Column:
-    return F.struct(c.alias("content"))
+def promote_labels(rows: DataFrame) -> DataFrame:
+    """An ungrouped column of mostly 'Label: rest' items becomes one group per label; the items
+    without one gather in General where the first of them stood. Adds part_ord, of the new groups."""
+    ungrouped = IN_GRID & F.lower(strip(F.coalesce("group_name", F.lit("")))).isin("", "general")
+    rows = rows.withColumn("tag", F.when(ungrouped, label_of_item(F.coalesce("text", F.lit("")))))
+    tagged = F.col("tag").isNotNull()
+    rows = rows.withColumn("stays", F.when(tagged, F.coalesce(column_domain("tag.label") == F.col("domain"), F.lit(True))))
+    labels = F.count_if(tagged).over(WITHIN)
+    distinct = F.size(F.collect_set(F.lower("tag.label")).over(WITHIN)) == labels
+    regroup = (labels >= V.MIN_LABELLED) & (2 * labels >= F.count("*").over(WITHIN)) & distinct & F.min("stays").over(WITHIN)
+    rows = rows.withColumns({"regroup": F.coalesce(regroup, F.lit(False)), "first": F.min(F.when(~tagged, F.col("item_ord"))).over(WITHIN)})
+    on = F.col("regroup")
+    return rows.withColumns(
+        {
+            "part_ord": F.when(on & tagged, F.col("item_ord")).when(on, F.col("first")).otherwise(0),
+            "group_name": F.when(on, F.coalesce("tag.label", F.lit("General"))).otherwise(F.col("group_name")),
+            "text": F.when(on & tagged, F.col("tag.rest")).otherwise(F.col("text")),
+        }
+    ).drop("tag", "stays", "regroup", "first")
+
+
+def trim_names(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("group_name", trim_colons(F.col("group_name")))
+
+
+def split_items(rows: DataFrame) -> DataFrame:
+    """Run-on cells of the grid become one item per part, with their parent's attributes."""
+    rows = rows.withColumn("parts", F.coalesce(F.when(IN_GRID & (F.length(strip("text")) >= V.MIN_CELL), split_cell(F.col("text"))), F.array("text")))
+    rest = [c for c in rows.columns if c not in ("text", "parts", "item_ord")]
+    rows = rows.select(*rest, "item_ord", F.posexplode("parts").alias("piece_ord", "text"))
+    return rows.withColumn("item_ord", F.struct("item_ord", "piece_ord")).drop("piece_ord")
+
+
+def map_headers(rows: DataFrame) -> DataFrame:
+    """Items get their group's header, and who placed them and why, where they have none of it."""
+    name = F.coalesce(F.nullif(strip("group_name"), F.lit("")), F.lit("General"))
+    rows = rows.withColumn("group_name", F.when(IN_GRID, name).otherwise(F.col("group_name")))
+    rows = rows.withColumns({"header": norm_header("group_name"), "bare": bare_header("group_name")})
+    rows = rows.withColumns({"strict": column_of("bare"), "loose": synonym_of("header", "bare")})
+    other = F.coalesce(F.col("strict") != F.col("domain"), F.lit(False))
+    own = F.coalesce(F.col("loose") == F.col("domain"), F.lit(False))
+    bucket = (F.col("domain") == "inputs") & is_input_subbucket("group_name")
+    rows = rows.withColumn("why", F.when(~IN_GRID, "unmapped").when(other, "spatial").when(own, "synonym").when(bucket, "subbucket").otherwise("spatial"))
+    rows = rows.withColumn("shown", F.when(~IN_GRID | other | own | bucket | (F.col("group_name") != "General"), strip("group_name")))
+    live = ~IN_GRID | not_blank("text")  # blank items of the grid stay as they are
+    fill = live & not_blank("shown") & is_blank("sourceHeader")
+    return rows.withColumns(
+        {
+            "sourceSection": F.when(fill, F.coalesce(F.nullif(strip("sourceSection"), F.lit("")), "shown")).otherwise(F.col("sourceSection")),
+            "sourceHeader": F.when(fill, F.col("shown")).otherwise(F.col("sourceHeader")),
+            "mappedBy": F.coalesce("mappedBy", F.when(live & IN_GRID, "auto")),
+            "mappingConfidence": F.coalesce("mappingConfidence", F.when(live, F.col("why"))),
+        }
+    ).drop("header", "bare", "strict", "loose", "why", "shown")
+
+
+def drop_restated(rows: DataFrame) -> DataFrame:
+    """Unmapped items that stand in the grid of their document word for word go."""
+    rows = rows.withColumn("same", norm_text(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("in_grid", F.max(IN_GRID).over(Window.partitionBy("doc_id", "same")))
+    return rows.where(IN_GRID | (F.col("same") == "") | ~F.col("in_grid")).drop("same", "in_grid")
 
 
 def reshape(models: DataFrame) -> DataFrame:
-    """All passes but the verdicts, over doc_id, the model's columns and optionally sourceText."""
+    """All passes but the verdicts, over doc_id, the model's columns and optionally sourceText.
+
+    The passes run over items, a row each, dealt out by document once; groups without items vanish.
+    """
     out = models
     if "sourceText" in models.columns:
         gap = is_blank("impactStatement.content") & not_blank("sourceText")
         found = F.when(gap, harvested(F.when(gap, F.col("sourceText"))))
-        out = out.withColumn("impactStatement", F.when(found.isNotNull(), boxed(found)).otherwise(F.col("impactStatement")))
-    for d in V.GRID:
-        out = out.withColumn(d, boxed(split_items(trim_names(promote_labels(groups_of(d), d)))))
-    out = out.withColumn(V.UNMAPPED, boxed(map_unmapped(trim_names(groups_of(V.UNMAPPED)))))
-    out = out.withColumns({d: boxed(map_headers(groups_of(d), d)) for d in V.GRID})
-    out = out.withColumn("grid keys", F.flatten(F.array(*[keys_of(groups_of(d)) for d in V.GRID])))
-    out = out.withColumn(V.UNMAPPED, boxed(drop_restated(groups_of(V.UNMAPPED), F.col("grid keys")))).drop("grid keys")
-    out = out.withColumn("layoutFamily", F.coalesce(F.nullif(F.col("layoutFamily"), F.lit("")), F.lit("vertical_columns")))
-    return out.withColumn("mappingCorrections", F.coalesce("mappingCorrections", F.array().cast(models.schema["mappingCorrections"].dataType)))
+        out = out.withColumn("found", found).withColumn("impactStatement", F.when(F.col("found").isNotNull(), F.struct(F.col("found").alias("content"))).otherwise(F.col("impactStatement"))).drop("found")
+    rows = items(models, blank=True).repartition("doc_id")
+    for step in (promote_labels, trim_names, split_items, map_headers, drop_restated):
+        rows = step(rows)
+    grids = nest(rows.withColumn("group_ord", F.struct("group_ord", "part_ord")).drop("part_ord"))
+    rest = out.drop(*V.GROUPED).withColumn("layoutFamily", F.coalesce(F.nullif("layoutFamily", F.lit("")), F.lit("vertical_columns")))
+    rest = rest.withColumn("mappingCorrections", F.coalesce("mappingCorrections", F.array().cast(models.schema["mappingCorrections"].dataType)))
+    none = F.struct(F.expr(EMPTY).alias("content"))
+    joined = rest.join(grids, "doc_id", "left").withColumns({d: F.coalesce(d, none) for d in V.GROUPED})
+    return joined.select(*models.columns)
 
 
 def normalize(models: DataFrame) -> DataFrame:
