@@ -115,7 +115,7 @@ def decode_entities(c: Column | str) -> Column:
         s = F.replace(s, F.lit(name), F.lit(value))
     for pattern, base in (("&#([0-9]+);", 10), ("(?i)&#x([0-9a-f]+);", 16)):
         parts, codes = F.split(s, pattern), F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-        point = lambda h: F.decode(F.unhex(F.lpad(F.conv(h, base, 16), 8, "0")), "UTF-32BE")  # noqa: E731, B023
+        point = lambda h: F.decode(F.unhex(F.lpad(F.conv(h, base, 16), 8, "0")), "UTF-32")  # noqa: E731, B023
         joined = F.array_join(F.zip_with(parts, codes, lambda p, h: F.concat(p, F.when(h.isNotNull(), point(h)).otherwise(F.lit("")))), "")
         s = F.when(F.size(codes) > 0, joined).otherwise(s)
     return F.replace(s, F.lit("&amp;"), F.lit("&"))

@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
 from ..functions.headers import synonym_of
 from ..functions.text import WS, bare_header, char_grams, norm_header, strip
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case, compatibility decomposition, a-z and 0-9 only."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if c.isascii() and c.isalnum()))

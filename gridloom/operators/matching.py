@@ -11,9 +11,9 @@ from ..functions.text import tokens
 
 
 def bags(items: DataFrame) -> DataFrame:
-    """doc_id, ord, size, tokens (map-like array of token and count) of each item."""
-    rows = items.select("doc_id", "ord", tokens("text").alias("t"))
-    return rows.select("doc_id", "ord", F.size("t").alias("size"), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.size(F.filter("t", lambda y: y == x)).alias("n"))).alias("bag"))
+    """doc_id, ord, size, token, n: how often an item has a token; size counts all its tokens."""
+    rows = items.select("doc_id", "ord", tokens("text").alias("t")).select("doc_id", "ord", F.size("t").alias("size"), F.explode_outer("t").alias("token"))
+    return rows.groupBy("doc_id", "ord", "size", "token").agg(F.count("*").alias("n"))
 
 
 def similar_pairs(expected: DataFrame, actual: DataFrame, least: float = V.MATCH) -> DataFrame:
@@ -23,7 +23,7 @@ def similar_pairs(expected: DataFrame, actual: DataFrame, least: float = V.MATCH
     pair out are tested before counts are summed. Items without tokens equal each other.
     """
     e, a = bags(expected), bags(actual)
-    post = lambda rows, o, s, n: rows.select("doc_id", F.col("ord").alias(o), F.col("size").alias(s), F.explode("bag").alias("x")).select("doc_id", o, s, "x.token", F.col("x.n").alias(n))
+    post = lambda rows, o, s, n: rows.where("token is not null").withColumnsRenamed({"ord": o, "size": s, "n": n})
     pairs = post(e, "e", "es", "en").join(post(a, "a", "as_", "an"), ["doc_id", "token"]).where(2 * F.least("es", "as_") >= F.lit(least) * (F.col("es") + F.col("as_")))
     scored = pairs.groupBy("doc_id", "e", "a", "es", "as_").agg((2.0 * F.sum(F.least("en", "an")) / (F.first("es") + F.first("as_"))).alias("score")).select("doc_id", "e", "a", "score")
     bare = e.where("size = 0").select("doc_id", F.col("ord").alias("e")).join(a.where("size = 0").select("doc_id", F.col("ord").alias("a")), "doc_id").withColumn("score", F.lit(1.0))
@@ -33,7 +33,7 @@ def similar_pairs(expected: DataFrame, actual: DataFrame, least: float = V.MATCH
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """doc_id, e, a, score: the one-to-one matches taken in order of score, then e, then a.
 
-    A group holds the candidate pairs of one document's grid.
+    A group holds the candidate pairs of one document's grid, so a document's items bound it.
     """
 
     def take(frame: pd.DataFrame) -> pd.DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
 from ..functions.cells import label_of_item, split_cell, trim_colons
@@ -70,26 +72,26 @@ def labelled_statement(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def harvested(text: pd.Series) -> pd.Series:
     return text.map(labelled_statement)
 
 
-WITHIN = Window.partitionBy("doc_id", "domain", "group_ord")
-IN_GRID = F.col("domain") != V.UNMAPPED
+def in_grid() -> Column:
+    return F.col("domain") != V.UNMAPPED
 
 
 def promote_labels(rows: DataFrame) -> DataFrame:
     """An ungrouped column of mostly 'Label: rest' items becomes one group per label; the items
     without one gather in General where the first of them stood. Adds part_ord, of the new groups."""
-    ungrouped = IN_GRID & F.lower(strip(F.coalesce("group_name", F.lit("")))).isin("", "general")
+    ungrouped = in_grid() & F.lower(strip(F.coalesce("group_name", F.lit("")))).isin("", "general")
     rows = rows.withColumn("tag", F.when(ungrouped, label_of_item(F.coalesce("text", F.lit("")))))
-    tagged = F.col("tag").isNotNull()
+    tagged, within = F.col("tag").isNotNull(), Window.partitionBy("doc_id", "domain", "group_ord")
     rows = rows.withColumn("stays", F.when(tagged, F.coalesce(column_domain("tag.label") == F.col("domain"), F.lit(True))))
-    labels = F.count_if(tagged).over(WITHIN)
-    distinct = F.size(F.collect_set(F.lower("tag.label")).over(WITHIN)) == labels
-    regroup = (labels >= V.MIN_LABELLED) & (2 * labels >= F.count("*").over(WITHIN)) & distinct & F.min("stays").over(WITHIN)
-    rows = rows.withColumns({"regroup": F.coalesce(regroup, F.lit(False)), "first": F.min(F.when(~tagged, F.col("item_ord"))).over(WITHIN)})
+    labels = F.count_if(tagged).over(within)
+    distinct = F.size(F.collect_set(F.lower("tag.label")).over(within)) == labels
+    regroup = (labels >= V.MIN_LABELLED) & (2 * labels >= F.count("*").over(within)) & distinct & F.min("stays").over(within)
+    rows = rows.withColumns({"regroup": F.coalesce(regroup, F.lit(False)), "first": F.min(F.when(~tagged, F.col("item_ord"))).over(within)})
     on = F.col("regroup")
     return rows.withColumns(
         {
@@ -106,7 +108,7 @@ def trim_names(rows: DataFrame) -> DataFrame:
 
 def split_items(rows: DataFrame) -> DataFrame:
     """Run-on cells of the grid become one item per part, with their parent's attributes."""
-    rows = rows.withColumn("parts", F.coalesce(F.when(IN_GRID & (F.length(strip("text")) >= V.MIN_CELL), split_cell(F.col("text"))), F.array("text")))
+    rows = rows.withColumn("parts", F.coalesce(F.when(in_grid() & (F.length(strip("text")) >= V.MIN_CELL), split_cell(F.col("text"))), F.array("text")))
     rest = [c for c in rows.columns if c not in ("text", "parts", "item_ord")]
     rows = rows.select(*rest, "item_ord", F.posexplode("parts").alias("piece_ord", "text"))
     return rows.withColumn("item_ord", F.struct("item_ord", "piece_ord")).drop("piece_ord")
@@ -115,21 +117,21 @@ def split_items(rows: DataFrame) -> DataFrame:
 def map_headers(rows: DataFrame) -> DataFrame:
     """Items get their group's header, and who placed them and why, where they have none of it."""
     name = F.coalesce(F.nullif(strip("group_name"), F.lit("")), F.lit("General"))
-    rows = rows.withColumn("group_name", F.when(IN_GRID, name).otherwise(F.col("group_name")))
+    rows = rows.withColumn("group_name", F.when(in_grid(), name).otherwise(F.col("group_name")))
     rows = rows.withColumns({"header": norm_header("group_name"), "bare": bare_header("group_name")})
     rows = rows.withColumns({"strict": column_of("bare"), "loose": synonym_of("header", "bare")})
     other = F.coalesce(F.col("strict") != F.col("domain"), F.lit(False))
     own = F.coalesce(F.col("loose") == F.col("domain"), F.lit(False))
     bucket = (F.col("domain") == "inputs") & is_input_subbucket("group_name")
-    rows = rows.withColumn("why", F.when(~IN_GRID, "unmapped").when(other, "spatial").when(own, "synonym").when(bucket, "subbucket").otherwise("spatial"))
-    rows = rows.withColumn("shown", F.when(~IN_GRID | other | own | bucket | (F.col("group_name") != "General"), strip("group_name")))
-    live = ~IN_GRID | not_blank("text")  # blank items of the grid stay as they are
+    rows = rows.withColumn("why", F.when(~in_grid(), "unmapped").when(other, "spatial").when(own, "synonym").when(bucket, "subbucket").otherwise("spatial"))
+    rows = rows.withColumn("shown", F.when(~in_grid() | other | own | bucket | (F.col("group_name") != "General"), strip("group_name")))
+    live = ~in_grid() | not_blank("text")  # blank items of the grid stay as they are
     fill = live & not_blank("shown") & is_blank("sourceHeader")
     return rows.withColumns(
         {
             "sourceSection": F.when(fill, F.coalesce(F.nullif(strip("sourceSection"), F.lit("")), "shown")).otherwise(F.col("sourceSection")),
             "sourceHeader": F.when(fill, F.col("shown")).otherwise(F.col("sourceHeader")),
-            "mappedBy": F.coalesce("mappedBy", F.when(live & IN_GRID, "auto")),
+            "mappedBy": F.coalesce("mappedBy", F.when(live & in_grid(), "auto")),
             "mappingConfidence": F.coalesce("mappingConfidence", F.when(live, F.col("why"))),
         }
     ).drop("header", "bare", "strict", "loose", "why", "shown")
@@ -138,8 +140,8 @@ def map_headers(rows: DataFrame) -> DataFrame:
 def drop_restated(rows: DataFrame) -> DataFrame:
     """Unmapped items that stand in the grid of their document word for word go."""
     rows = rows.withColumn("same", norm_text(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("in_grid", F.max(IN_GRID).over(Window.partitionBy("doc_id", "same")))
-    return rows.where(IN_GRID | (F.col("same") == "") | ~F.col("in_grid")).drop("same", "in_grid")
+    rows = rows.withColumn("in_grid", F.max(in_grid()).over(Window.partitionBy("doc_id", "same")))
+    return rows.where(in_grid() | (F.col("same") == "") | ~F.col("in_grid")).drop("same", "in_grid")
 
 
 def reshape(models: DataFrame) -> DataFrame:
@@ -166,5 +168,6 @@ def reshape(models: DataFrame) -> DataFrame:
 def normalize(models: DataFrame) -> DataFrame:
     """doc_id, the model's columns, and optionally sourceText, lowLegibility and textOnlyFallback, in;
     the same out, reshaped and with reconciled verdicts. Only documents whose text has page markers
-    are looked at page by page; those rows alone are shuffled, by document."""
-    return fidelity.reconcile(reshape(models))
+    are looked at page by page. The verdicts read the reshaped rows several times, so these are kept
+    (in memory, else on the executors' disks; lost ones are made again)."""
+    return fidelity.reconcile(reshape(models).persist(StorageLevel.MEMORY_AND_DISK))

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, is_supported, not_blank, source_format
 from .schema import BUNDLE, FIXTURE, MODEL, REQUIRED, SPEC
 
-STEM = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
 
 
 def model_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem) and the model of each JSON file."""
-    return spark.read.schema(MODEL).option("multiLine", True).json(path).withColumn("doc_id", STEM)
+    return spark.read.schema(MODEL).option("multiLine", True).json(path).withColumn("doc_id", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1))
 
 
 def fixture_files(spark: SparkSession, path: str) -> DataFrame:
