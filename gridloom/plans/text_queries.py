@@ -189,12 +189,22 @@ SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'shortTermOutcomes' WHEN 1 THEN NU
 FROM p WHERE p_size % 8 NOT IN (1, 7)
 """)
 def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers, made of part attributes, to columns: loose and strict."""
+    """Headers, made of part attributes, to columns: loose and strict. Leaves out what the SQL does; header_lookup_all has every part."""
+    return looked_up(load(spark, sf_dir, "part").where(~(F.col("p_size") % 8).isin(1, 7)))
+
+
+@query()
+def header_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of all parts, with underscores and plain names too, to columns: loose and strict."""
+    return looked_up(load(spark, sf_dir, "part"))
+
+
+def looked_up(parts: DataFrame) -> DataFrame:
     m = F.col("p_size") % 8
     header = (
-        F.when(m == 0, "Short-Term Outcomes").when(m == 2, F.concat(F.lit("Resources & "), F.lower("p_type"))).when(m == 3, "Products")
-        .when(m == 4, F.concat(F.lit("reach "), F.lower("p_name"))).when(m == 5, "OUTCOMES --").when(m == 6, "Impact")
+        F.when(m == 0, "Short-Term Outcomes").when(m == 1, "program_activities:").when(m == 2, F.concat(F.lit("Resources & "), F.lower("p_type"))).when(m == 3, "Products")
+        .when(m == 4, F.concat(F.lit("reach "), F.lower("p_name"))).when(m == 5, "OUTCOMES --").when(m == 6, "Impact").otherwise(F.col("p_name"))
     )
-    rows = load(spark, sf_dir, "part").where(~m.isin(1, 7)).select("p_partkey", header.alias("h"))
+    rows = parts.select("p_partkey", header.alias("h"))
     rows = rows.withColumns({"header": T.norm_header("h"), "bare": T.bare_header("h")})
     return rows.select("p_partkey", synonym_of("header", "bare").alias("loose"), column_of("bare").alias("strict"))
