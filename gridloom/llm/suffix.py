@@ -17,7 +17,6 @@ Those anchors are sampled positions: about one in forty, at the same places in e
 from __future__ import annotations
 
 import hashlib
-import zlib
 from itertools import islice
 
 import numpy as np
@@ -34,7 +33,7 @@ LENGTH, SEED = 100, 25
 #: that is doubled within a task.
 SLICE, CROWD, BATCH = 1 << 21, 4096, 1 << 20
 BASE = 0x9E3779B97F4A7C15
-#: q, q - lo and q - hi of an anchor's run share a long with 16 bits of the text's checksum.
+#: q, q - lo and q - hi of an anchor's run share a long.
 SMALL, MASK = 7, 127
 #: Bytes before a seed by which a crowded rank is made finer; the other way is by those after it.
 LEFT, MASK64 = (LENGTH - SEED) // 2, (1 << 64) - 1
@@ -101,12 +100,48 @@ def anchors(segments: list[bytes]):
     return q, lo, hi, owner[first], seed[q], roll.of(lo, hi + LENGTH, salt=1) + ((q - lo) * 128 + (q - hi)).astype(np.uint64)
 
 
-def checksum(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFF
+#: Partitions and rows of a partition share a document's number.
+PART = 40
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, copies, z: the different (doc_id, text) pairs with how often each stands, texts compressed.
+
+    doc numbers the pairs in order of doc_id, null first, then of a digest of both. Equal pairs are
+    brought together before the sort, so neither a doc_id nor a pair that many rows share is one task's.
+    """
+    text = F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"), 256))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("key"), text.alias("text"))
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << PART
+        for batch in batches:
+            doc = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), doc, batch.column(1), batch.column(2)], ["key", "doc", "doc_id", "copies"])
+
+    def squeeze(batches):
+        import zstandard
+
+        squeezer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                z = [squeezer.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], ["key", "z"])
+
+    pairs = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("copies"))
+    ordered = pairs.select("key", "doc_id", "copies").repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    numbers = materialize(ordered.mapInArrow(number, "key binary, doc long, doc_id long, copies long"))
+    texts = keyed.select("key", "text").mapInArrow(squeeze, "key binary, z binary").groupBy("key").agg(F.first("z").alias("z"))
+    return materialize(texts.join(numbers, "key").select("doc", "doc_id", "copies", "z"))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """kind, h, u, doc, run: every anchor (kind 0); of equal runs read together, the later ones are
+    """kind, h, u, doc, run of numbered documents: every anchor (kind 0); of equal runs read together, the later ones are
     known to repeat already (kind 1)."""
 
     def rows(segments, owners):
@@ -115,9 +150,9 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             return None
         q, lo, hi, seg, h, u = found
         ends = np.cumsum([len(s) for s in segments])
-        origin = np.array([base for _, _, base in owners]) - (ends - np.array([len(s) for s in segments]))
-        doc, check = np.array([d for d, _, _ in owners], np.int64)[seg], np.array([c for _, c, _ in owners], np.int64)[seg]
-        run = (check << 46) | ((q + origin[seg]) << (2 * SMALL)) | ((q - lo) << SMALL) | (q - hi)
+        origin = np.array([base for _, base in owners]) - (ends - np.array([len(s) for s in segments]))
+        doc = np.array([d for d, _ in owners], np.int64)[seg]
+        run = ((q + origin[seg]) << (2 * SMALL)) | ((q - lo) << SMALL) | (q - hi)
         order = np.lexsort((run, doc, u, h))
         h, u, doc, run = h[order], u[order], doc[order], run[order]
         known = np.zeros(len(h), np.int32)
@@ -128,16 +163,19 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(known), pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(doc), pa.array(run)], ["kind", "h", "u", "doc", "run"])
 
     def scan(batches):
+        import zstandard
+
+        unsqueeze = zstandard.ZstdDecompressor()
         segments, owners, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for doc, z in zip(batch.column(0), batch.column(1)):
+                data = unsqueeze.decompress(z.as_py())
                 for base in range(0, max(1, len(data) - LENGTH + 1), SLICE):
                     part = data[base : base + SLICE + LENGTH - 1]
                     if len(part) < LENGTH:
                         continue
                     segments.append(part)
-                    owners.append((doc.as_py(), checksum(data), base))
+                    owners.append((doc.as_py(), base))
                     size += len(part)
                     if size >= SLICE:
                         out = rows(segments, owners)
@@ -147,7 +185,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         if segments and (out := rows(segments, owners)) is not None:
             yield out
 
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(scan, "kind int, h long, u long, doc long, run long")
+    return docs.select("doc", "z").mapInArrow(scan, "kind int, h long, u long, doc long, run long")
 
 
 def rerank(rows: DataFrame) -> DataFrame:
@@ -195,22 +233,6 @@ def rerank(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(stream, "kind int, h long, doc long, run long")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (doc_id, or -1 for null), z: texts compressed for a shuffle."""
-
-    def run(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                z = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(0).fill_null(-1), pa.array(z, pa.binary())], ["doc_id", "doc", "z"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc long, z binary")
-
-
 def run_bytes(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """h, doc, run, bytes: the open runs with what they cover."""
     by_doc = open_runs.groupBy("doc").agg(F.collect_list(F.struct("h", "run")).alias("runs"))  # as many as a text has room for
@@ -223,20 +245,18 @@ def run_bytes(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
             out = [], [], [], []
             for doc, z, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = unsqueeze.decompress(z.as_py())
-                check = checksum(data)
                 for r in runs:
-                    if r["run"] >> 46 == check:
-                        q, left, right = place(r["run"])
-                        for column, v in zip(out, (r["h"], doc, r["run"], data[q - left : q - right + LENGTH])):
-                            column.append(v)
+                    q, left, right = place(r["run"])
+                    for column, v in zip(out, (r["h"], doc, r["run"], data[q - left : q - right + LENGTH])):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["h", "doc", "run", "bytes"])
 
-    return squeezed(docs).join(by_doc, "doc").select("doc", "z", "runs").mapInArrow(read, "h long, doc long, run long, bytes binary")
+    return docs.select("doc", "z").join(by_doc, "doc").select("doc", "z", "runs").mapInArrow(read, "h long, doc long, run long, bytes binary")
 
 
 def place(run):
     """q, q - lo, q - hi of a run."""
-    return (run >> (2 * SMALL)) & 0xFFFFFFFF, (run >> SMALL) & MASK, run & MASK
+    return run >> (2 * SMALL), (run >> SMALL) & MASK, run & MASK
 
 
 def unrepeated(rank: np.ndarray) -> np.ndarray:
@@ -245,7 +265,7 @@ def unrepeated(rank: np.ndarray) -> np.ndarray:
 
 
 def double_within(doc: np.ndarray, run: np.ndarray, pieces: list[bytes]):
-    """doc, check, lo, hi: start positions of the runs whose LENGTH bytes start earlier in another.
+    """doc, lo, hi: start positions of the runs whose LENGTH bytes start earlier in another.
 
     All runs of a rank are among the rows. Ranks of SEED bytes come from fingerprints; each round
     ranks the pairs of a position and the one the current length further.
@@ -268,22 +288,21 @@ def double_within(doc: np.ndarray, run: np.ndarray, pieces: list[bytes]):
         row, pos = row[keep], pos[keep]
     q, left, _ = place(run)
     where = (q - left)[row] + pos - first[row]
-    check = (run >> 46)[row]
-    order = np.lexsort((where, check, doc[row], rank[pos]))
-    r, d, c, w = rank[pos][order], doc[row][order], check[order], where[order]
+    order = np.lexsort((where, doc[row], rank[pos]))
+    r, d, w = rank[pos][order], doc[row][order], where[order]
     head = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), np.arange(len(r)), 0)) if len(r) else order
-    later = (d != d[head]) | (c != c[head]) | (w != w[head])
-    return intervals(d[later], c[later], w[later])
+    later = (d != d[head]) | (w != w[head])
+    return intervals(d[later], w[later])
 
 
-def intervals(doc, check, where):
-    """doc, check, lo, hi of the maximal runs of consecutive positions."""
-    order = np.lexsort((where, check, doc))
-    d, c, w = doc[order], check[order], where[order]
-    new = np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (w[1:] > w[:-1] + 1)) if len(d) else np.zeros(0, bool)
+def intervals(doc, where):
+    """doc, lo, hi of the maximal runs of consecutive positions."""
+    order = np.lexsort((where, doc))
+    d, w = doc[order], where[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (w[1:] > w[:-1] + 1)) if len(d) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1 if len(d) else first
-    return d[first], c[first], w[first], w[last]
+    return d[first], w[first], w[last]
 
 
 def halves(h: int, run: int, piece: bytes):
@@ -305,24 +324,24 @@ def signed(x: int) -> int:
 
 
 def double_once(runs: DataFrame, again: bool) -> DataFrame:
-    """kind, doc, check, lo, hi, a, b, bytes of runs (h, doc, run, bytes).
+    """kind, doc, lo, hi, a, b, bytes of runs (h, doc, run, bytes).
 
     Kind 0: start positions lo to hi repeat an earlier one. The runs of a rank with more than CROWD
     are given back instead: again, as runs of finer ranks (kind 1: a the rank, b the run); else by
     position (kind 2: lo, with the ranks of its two halves as a and b).
     """
 
-    def out(kind, doc, check, lo, hi, a=None, b=None, pieces=None):
+    def out(kind, doc, lo, hi, a=None, b=None, pieces=None):
         none = np.zeros(len(doc), np.int64)
-        columns = [np.full(len(doc), kind, np.int32), *(none if x is None else np.asarray(x).view(np.int64) for x in (doc, check, lo, hi, a, b))]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(doc), pa.binary()) if pieces is None else pa.array(pieces, pa.binary())], ["kind", "doc", "check", "lo", "hi", "a", "b", "bytes"])
+        columns = [np.full(len(doc), kind, np.int32), *(none if x is None else np.asarray(x).view(np.int64) for x in (doc, lo, hi, a, b))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(doc), pa.binary()) if pieces is None else pa.array(pieces, pa.binary())], ["kind", "doc", "lo", "hi", "a", "b", "bytes"])
 
     def crowded(h, doc, run, pieces):
         if again:
             finer = [(d, k, r, p) for d, r, p in zip(doc, run, pieces) for k in halves(h, r, p)]
             docs, keys, rows, parts = zip(*finer)
             none = np.zeros(len(finer), np.int64)
-            return out(1, np.array(docs, np.int64), none, none, none, np.array(keys, np.int64), np.array(rows, np.int64), parts)
+            return out(1, np.array(docs, np.int64), none, none, np.array(keys, np.int64), np.array(rows, np.int64), parts)
         doc, run, sizes = np.array(doc), np.array(run), np.array([len(p) for p in pieces])
         first, starts = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
         row = np.repeat(np.arange(len(pieces)), starts)
@@ -330,7 +349,7 @@ def double_once(runs: DataFrame, again: bool) -> DataFrame:
         roll = Rolling(np.frombuffer(b"".join(pieces), np.uint8))
         q, left, _ = place(run)
         where = (q - left)[row] + pos - first[row]
-        return out(2, doc[row], (run >> 46)[row], where, where, roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2))
+        return out(2, doc[row], where, where, roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2))
 
     def stream(batches):
         held: list[list] = [[], [], [], []]
@@ -362,44 +381,45 @@ def double_once(runs: DataFrame, again: bool) -> DataFrame:
             yield out(0, *double_within(np.array(held[1]), np.array(held[2]), held[3]))
 
     ordered = runs.repartition("h").sortWithinPartitions("h", "doc", "run")
-    return materialize(ordered.mapInArrow(stream, "kind int, doc long, check long, lo long, hi long, a long, b long, bytes binary"))
+    return materialize(ordered.mapInArrow(stream, "kind int, doc long, lo long, hi long, a long, b long, bytes binary"))
 
 
 def doubled(runs: DataFrame) -> DataFrame:
-    """doc, check, lo, hi: start positions in the open runs that repeat an earlier one."""
+    """doc, lo, hi: start positions in the open runs that repeat an earlier one."""
     found = double_once(runs, again=True)
     finer = double_once(found.where("kind = 1").select(F.col("a").alias("h"), "doc", F.col("b").alias("run"), "bytes"), again=False)
     many = finer.where("kind = 2")
-    earliest = many.groupBy("a", "b").agg(F.min(F.struct("doc", "check", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("a", "b", "e")
-    later = many.join(earliest, ["a", "b"]).where(F.struct("doc", "check", "lo") != F.col("e"))
+    earliest = many.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("a", "b", "e")
+    later = many.join(earliest, ["a", "b"]).where(F.struct("doc", "lo") != F.col("e"))
     within = found.where("kind = 0").unionByName(finer.where("kind = 0"))
-    return within.select("doc", "check", "lo", "hi").unionByName(later.select("doc", "check", "lo", "hi"))
+    return within.select("doc", "lo", "hi").unionByName(later.select("doc", "lo", "hi"))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """doc, check, lo, hi: the LENGTH-byte strings starting at lo to hi of a document start earlier too."""
+    """doc, lo, hi: the LENGTH-byte strings starting at lo to hi of a numbered document start earlier too."""
     ranked = materialize(rerank(anchor_rows(docs)))
     q, left, right = place_sql()
-    whole = ranked.where("kind = 1").select("doc", F.shiftright("run", 46).alias("check"), (q - left).alias("lo"), (q - right).alias("hi"))
+    whole = ranked.where("kind = 1").select("doc", (q - left).alias("lo"), (q - right).alias("hi"))
     return whole.unionByName(doubled(run_bytes(docs, ranked.where("kind = 0"))))
 
 
 def place_sql():
     run = F.col("run")
-    return F.shiftright(run, 2 * SMALL).bitwiseAND(0xFFFFFFFF), F.shiftright(run, SMALL).bitwiseAND(MASK), run.bitwiseAND(MASK)
+    return F.shiftright(run, 2 * SMALL), F.shiftright(run, SMALL).bitwiseAND(MASK), run.bitwiseAND(MASK)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Remove the bytes covered by a LENGTH-byte string that starts earlier in the corpus.
 
     docs: doc_id, text (others are not read); texts count as UTF-8, null as empty. Earlier means a
-    smaller doc_id, or an earlier start in the same document; a null doc_id comes before 0. Rows that
-    share doc_id and text are one document and get the same result; rows that share a doc_id with
-    different texts are different documents, in order of their checksums. Returns doc_id, n_bytes,
+    smaller doc_id, or an earlier start in the same document; a null doc_id comes before all others. Rows
+    that share doc_id and text are one document and get the same result; rows that share a doc_id, or
+    have none, with different texts are different documents, in order of their digests. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256, and with_text kept (bytes) and spans (lo, hi of what is removed).
     """
+    docs = numbered(docs)
     places = repeated_starts(docs)
-    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("check", "lo", "hi")).alias("places"))  # as many as a text has room for
+    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))  # as many as a text has room for
 
     def cut_out(batches):
         import zstandard
@@ -407,14 +427,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for z, found in zip(batch.column(1), batch.column(2)):
+            for z, found in zip(batch.column(2), batch.column(3)):
                 data = unsqueeze.decompress(z.as_py())
-                check = checksum(data) if found.is_valid else 0
                 edge = np.zeros(len(data) + 1, np.int32)
                 for p in found.as_py() or ():
-                    if p["check"] == check:
-                        edge[p["lo"]] += 1
-                        edge[p["hi"] + LENGTH] -= 1
+                    edge[p["lo"]] += 1
+                    edge[p["hi"] + LENGTH] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8)))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -422,10 +440,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
             width = 6 if with_text else 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns[:width], kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: width + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns[:width], kinds))], ["doc_id", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: width + 2])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<lo:long,hi:long>>" * with_text
-    return squeezed(docs).join(by_doc, "doc", "left").select("doc_id", "z", "places").mapInArrow(cut_out, schema)
+    schema = "doc_id long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<lo:long,hi:long>>" * with_text
+    found = docs.join(by_doc, "doc", "left").select("doc_id", "copies", "z", "places").mapInArrow(cut_out, schema)
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return found.select("*", copy).drop("copies", "copy")
 
 
 def op4_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,36 @@ def test_spans(spark):
 
 def test_empty(spark):
     assert suffix.remove_repeats(C.empty(spark)).count() == 0
+
+
+def brute_pairs(rows):
+    """As brute, with a document for each (doc_id, text), in order of doc_id, null first, then of digest."""
+    digest = lambda d, t: hashlib.sha256(f"{'' if d is None else d}:{t}".encode()).digest()
+    pairs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda p: (p[0] is not None, p[0] or 0, digest(*p)))
+    of = {p: r[1:] for p, r in zip(pairs, brute([(i, t) for i, (_, t) in enumerate(pairs)]))}
+    return sorted(((r[0], *of[r[0], r[1] or ""]) for r in rows), key=repr)
+
+
+def same_checksum(draw, head, size):
+    """Two texts, the second shorter, that start with head and share 16 bits of CRC-32."""
+    import zlib
+
+    met = {}
+    while True:
+        text = head + "".join(draw.choice("pqrstuv") for _ in range(draw.choice(size)))
+        other = met.setdefault(zlib.crc32(text.encode()) & 0xFFFF, text)
+        if len(other) != len(text):
+            return sorted([text, other], key=len, reverse=True)
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh") for _ in range(240))
+    tail = "".join(draw.choice("ijklm") for _ in range(300))
+    long, short = same_checksum(draw, passage, (20, 300))
+    rows = [(None, long), (None, short), (None, short), (-1, short), (-1, tail + passage), (7, long), (7, tail), (7, "x" + tail), (None, None), (None, "")]
+    rows += [(None, passage[k : k + 150] + str(k)) for k in range(60)] + [(3, tail)] * 50
+    for crowd in (suffix.CROWD, 3):
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out), key=repr) == brute_pairs(rows)
