@@ -9,9 +9,10 @@ Those anchors are sampled positions: about one in forty, at the same places in e
    whole bytes of their runs: of equal runs all but the earliest repeat, start for start.
 3. The different runs that are left of a rank are doubled: positions are ranked by SEED bytes, then
    by pairs of ranks at offsets SEED, 2 SEED, ... up to LENGTH, each time without the unique ones. Of
-   equal ranks at LENGTH all but the earliest position repeat. A task holds the runs of many ranks at
-   a time. A rank with more than CROWD different runs is dealt out by the bytes before the seed and
-   by those after it, and should that leave crowds too, by position.
+   equal ranks at LENGTH all but the earliest position repeat. These rounds run within tasks, each
+   with the runs of many whole ranks at a time, not as Spark sorts. A rank with more than CROWD
+   different runs is dealt out by the bytes before the seed and by those after it; should that leave
+   crowds too, they are not doubled: their positions are grouped by the hashes of two halves.
 """
 
 from __future__ import annotations
