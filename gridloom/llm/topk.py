@@ -17,8 +17,8 @@ from .common import cut, load
 
 #: Candidates and queries of a chunk.
 CANDIDATES, QUERIES = 8192, 512
-#: Depths of sorted access after which the bound is tested; then the lists are read to their ends.
-DEPTHS = (4, 16, 64, 256)
+#: First depth of sorted access at which the bound is tested, and how the depths grow to the lists' ends.
+FIRST, GROWTH = 4, 2
 
 
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -36,47 +36,44 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def threshold_search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, depths=DEPTHS):
+def threshold_search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, stops: list | None = None):
     """For each query, the places of its k best rows of ``vectors`` and their scores.
 
     All integers. own holds the uid that a query leaves out. Scores are taken in double precision
-    where every sum is exact in it, else in Python's integers.
+    where every sum is exact in it, else in Python's integers. stops takes the depth at which each
+    query stopped, and the rows that it scored.
     """
     n, d = vectors.shape
     exact = not n or not len(queries) or not d or float(np.abs(vectors).max()) * float(np.abs(queries).max()) * d < 2**52
     kind = np.float64 if exact else object
     v, q = vectors.astype(kind), queries.astype(kind)
     order = np.argsort(vectors, axis=0, kind="stable")  # the sorted lists, least first
-    seen = np.zeros(n, bool)
-    out, late = [None] * len(q), []
+    seen, met = np.zeros(n, bool), np.zeros(n, bool)
+    out = [None] * len(q)
     for i in range(len(q)):
         up, down = np.flatnonzero(queries[i] > 0), np.flatnonzero(queries[i] < 0)
-        places, scores, before = np.empty(0, np.int64), np.empty(0, kind), 0
-        for depth in depths:
-            if depth >= n:
-                break
-            new = np.unique(np.concatenate([order[n - depth : n - before, up].ravel(), order[before:depth, down].ravel()]))
-            new = new[~seen[new] & (uids[new] != own[i])]
+        places, scores, before, depth = np.empty(0, np.int64), np.empty(0, kind), 0, min(FIRST, n)
+        while True:
+            if depth < n:
+                met[order[n - depth : n - before, up].ravel()] = True
+                met[order[before:depth, down].ravel()] = True
+                new = np.flatnonzero(met & ~seen)
+            else:  # the ends of the lists, and rows of no list if all signs are 0
+                new = np.flatnonzero(~seen)
             seen[new] = True
+            new = new[uids[new] != own[i]]
             places, scores = np.concatenate([places, new]), np.concatenate([scores, v[new] @ q[i]])
+            if depth >= n or seen.all():  # no row is left that the lists could still bring
+                break
             bound = (q[i, up] * v[order[n - depth, up], up]).sum() + (q[i, down] * v[order[depth - 1, down], down]).sum()
-            before = depth
             if len(scores) >= k and bound < np.partition(scores, len(scores) - k)[len(scores) - k]:
-                best = best_of(scores, ids[places], k)
-                out[i] = places[best], scores[best]
                 break
-        else:
-            depth = None
-        seen[places] = False
-        if out[i] is None:
-            late.append(i)
-    for at in range(0, len(late), 64):  # the lists are read to their ends: every candidate is scored
-        some = late[at : at + 64]
-        scores = q[some] @ v.T
-        for i, row in zip(some, scores):
-            others = np.flatnonzero(uids != own[i])
-            best = others[best_of(row[others], ids[others], k)]
-            out[i] = best, row[best]
+            before, depth = depth, min(depth * GROWTH, n)
+        seen[:] = met[:] = False
+        best = best_of(scores, ids[places], k)
+        out[i] = places[best], scores[best]
+        if stops is not None:
+            stops.append((depth, len(places)))
     return out
 
 

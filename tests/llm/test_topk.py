@@ -54,3 +54,17 @@ def test_stops_early_and_stays_exact():
         s[i] = -(2**62)
         best = np.lexsort((ids, -s))[:5]
         assert ids[places].tolist() == ids[best].tolist() and [int(x) for x in scores] == s[best].tolist()
+
+
+def test_reads_on_until_the_bound_stops_it():
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.standard_normal((6000, 2))).astype(np.int64)
+    v[:2000] = [2560, 0]  # equal values at the head of a list: no bound falls before depth 2000
+    ids, asks = np.arange(6000), np.array([[256, 1], [256, -1]])
+    stops = []
+    found = topk.threshold_search(v, ids, ids, asks, np.array([-1, -1]), 5, stops=stops)
+    assert all(256 < depth < 6000 and scored < 6000 for depth, scored in stops)
+    for q, (places, scores) in zip(asks, found):
+        s = v @ q
+        best = np.lexsort((ids, -s))[:5]
+        assert places.tolist() == best.tolist() and [int(x) for x in scores] == s[best].tolist()
