@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed along the Hilbert curve into sequences of 2048 ids."""
-    return pack_along_curve(docs, vocabulary("word_bpe_49k.json"))
+    """Documents are packed along the Hilbert curve into sequences of 2048 ids; pieces keep their ids and their row."""
+    return pack_along_curve(docs, vocabulary("word_bpe_49k.json"), with_ids=True, with_row=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

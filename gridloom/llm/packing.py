@@ -119,12 +119,12 @@ def starts_along_curve(encoded: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(parts), "part").select("uid", (F.col("local") + F.col("base")).alias("at"))  # one row per partition
 
 
-def pack_along_curve(docs: DataFrame, file: str, length: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack_along_curve(docs: DataFrame, file: str, length: int = 2048, with_ids: bool = False, with_row: bool = False) -> DataFrame:
     """Pack all documents into sequences of ``length`` ids.
 
     docs: doc_id, text; a null text is empty, and an empty one has the end id alone. Repeated rows
     are packed once each. Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, and with_ids the piece's ids. An empty table gives no pieces.
+    sequence_id, offset, with_ids the piece's ids, and with_row a number of the row that it came from. An empty table gives no pieces.
     """
     encoded = cut(encode_for_curve(docs, file).withColumn("uid", F.monotonically_increasing_id()))
     placed = encoded.select("uid", "doc_id", "ids").join(starts_along_curve(encoded), "uid")
@@ -134,8 +134,8 @@ def pack_along_curve(docs: DataFrame, file: str, length: int = 2048, with_ids: b
 
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = [[] for _ in range(8)]
-            for doc_id, blob, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out, rows = [[] for _ in range(8)], []
+            for doc_id, blob, at, uid in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids = unpack_ids(unsqueeze.decompress(blob))
                 start = 0
                 while start < len(ids):
@@ -143,12 +143,14 @@ def pack_along_curve(docs: DataFrame, file: str, length: int = 2048, with_ids: b
                     part = ids[start : start + length - offset]
                     for column, v in zip(out, (doc_id, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids), (at + start) // length, offset, part if with_ids else None)):
                         column.append(v)
+                    rows.append(uid)
                     start += len(part)
             kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=NAMES[: len(kinds)])
+            last = [pa.array(rows, pa.int64())] * with_row
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)] + last, names=NAMES[: len(kinds)] + ["row"] * with_row)
 
-    schema = ", ".join(f"{x} long" for x in NAMES[:7]) + ", ids array<long>" * with_ids
-    return placed.select("doc_id", "ids", "at").mapInArrow(pieces, schema)
+    schema = ", ".join(f"{x} long" for x in NAMES[:7]) + ", ids array<long>" * with_ids + ", row long" * with_row
+    return placed.select("doc_id", "ids", "at", "uid").mapInArrow(pieces, schema)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -56,3 +56,17 @@ def test_run_on_nothing(spark, tmp_path):
 
 def test_no_import_errors_are_swallowed():
     assert not re.search(r"except\s+ImportError", open(P.__file__).read())
+
+
+def test_packed_rows_are_whole(spark):
+    from gridloom.llm.packing import END_ID
+    from gridloom.llm.tokens import encoder
+
+    texts = ["some words of one excerpt", "an excerpt of other words " * 900, "", "some words of one excerpt"]
+    out = P.packing(spark, spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string"), "").collect()
+    rows = {}
+    for r in sorted(out, key=lambda r: r["start"]):
+        assert len(r["ids"]) == r["length"]
+        rows.setdefault(r["row"], []).extend(r["ids"])
+    enc = encoder(P.vocabulary("word_bpe_49k.json"))
+    assert sorted(rows.values()) == sorted([*enc.encode([t])[0].tolist(), END_ID] for t in texts)
