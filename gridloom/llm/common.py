@@ -29,6 +29,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A name for a helper column that no column of ``frames`` has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder; a temporary one only where none is configured (tests)."""
     sc = spark.sparkContext
