@@ -14,18 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, words_of, worker_cache
 from .tokens import places, slices
 
-#: Labelled documents to learn from, words of one training sequence, sequences of one document.
-SAMPLE_DOCS, SEQUENCE, SEQUENCES = 1200, 24, 4
-#: Hashed features; words of the lexicon of each language; passes over the training sequences.
-FEATURES, LEXICON, EPOCHS = 1 << 15, 3000, 4
-#: Features of a word at most. Longer words keep the n-grams of their ends.
-WIDTH = 20
+#: Labelled documents to learn from (all languages together), languages to learn, words of one training sequence.
+SAMPLE_DOCS, LANGUAGES, SEQUENCE = 1200, 256, 24
+#: Hashed features; words of the lexicon of each language; passes over the training sequences, sequences of a step.
+FEATURES, LEXICON, EPOCHS, STEP = 1 << 15, 3000, 3, 128
+#: Characters of a word, and features of many, that are looked at in one go.
+PIECE, GATHER = 1 << 16, 1 << 21
 UNKNOWN = "und"
 #: Distinct words that a worker remembers; words and lanes of one forward-backward run.
 CACHE_WORDS, RUN_WORDS, LANES = 600_000, 400_000, 512
@@ -34,29 +34,51 @@ CACHE_WORDS, RUN_WORDS, LANES = 600_000, 400_000, 512
 @dataclass
 class Field:
     labels: list[str]
-    weights: np.ndarray  # FEATURES + 1 x labels; the last row stays 0
+    weights: np.ndarray  # FEATURES x labels
     transition: np.ndarray  # labels x labels, log scale
     first: np.ndarray
     lexicon: dict[str, str]
 
 
-def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Hashed features of a lower-cased word."""
+def features(word: str, lexicon: dict[str, str]):
+    """Hashed features of a word, in pieces: lexicon, affixes, and all 2- and 3-grams of the whole word in lower case."""
     w = word.lower()
-    names = ["L" + lexicon.get(w, "?"), "1" + w[:1], "2" + w[:2], "3" + w[:3], "a" + w[-1:], "b" + w[-2:], "c" + w[-3:], "d" + w[-4:]]
-    core = w if len(w) <= 8 else w[:4] + w[-4:]
-    names += ["n" + core[i : i + 2] for i in range(len(core) - 1)]
-    names += ["m" + core[i : i + 3] for i in range(0, len(core) - 2, 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names[:WIDTH]]
-
-
-def feature_rows(words: list[str], lexicon: dict[str, str]) -> np.ndarray:
-    """WIDTH feature numbers per word; words without a letter have none, they take no side."""
-    out = np.full((len(words), WIDTH), FEATURES, np.int32)
-    for i, w in enumerate(words):
-        if has_letter(w):
-            f = features(w, lexicon)
-            out[i, : len(f)] = f
+    number = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES
+    yield [number(x) for x in ("L" + lexicon.get(w, "?"), "1" + w[:1], "2" + w[:2], "3" + w[:3], "a" + w[-1:], "b" + w[-2:], "c" + w[-3:], "d" + w[-4:])]
+    for at in range(0, len(w), PIECE):
+        ends = range(at, min(at + PIECE, len(w)))
+        yield [number("n" + w[i : i + 2]) for i in ends if i + 2 <= len(w)] + [number("m" + w[i : i + 3]) for i in ends if i + 3 <= len(w)]
+
+
+def feature_rows(words: list[str], lexicon: dict[str, str]):
+    """(feature numbers one word after the other, how many each word has): words without a letter have none, they take no side."""
+    found = [[x for piece in features(w, lexicon) for x in piece] if has_letter(w) else [] for w in words]
+    return np.fromiter((x for f in found for x in f), np.int32), np.array([len(f) for f in found], np.int64)
+
+
+def summed(weights: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    out, some = np.zeros((len(lengths), weights.shape[1]), weights.dtype), lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(weights[flat], (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
+
+
+def word_scores(weights: np.ndarray, words: list[str], lexicon: dict[str, str]) -> np.ndarray:
+    """Scores of words of any length: many short ones at once, the pieces of a long one after each other."""
+    out, at = np.zeros((len(words), weights.shape[1]), weights.dtype), 0
+    while at < len(words):
+        to, size = at, 0
+        while to < len(words) and size < GATHER and len(words[to]) <= PIECE:
+            size += 8 + 2 * len(words[to])
+            to += 1
+        if to == at:
+            if has_letter(words[at]):
+                out[at] = sum(weights[piece].sum(0, dtype=np.float64) for piece in features(words[at], lexicon))
+            to = at + 1
+        else:
+            out[at:to] = summed(weights, *feature_rows(words[at:to], lexicon))
+        at = to
     return out
 
 
@@ -65,15 +87,13 @@ def has_letter(text: str) -> bool:
 
 
 def training_sequences(rows: list[tuple[str, str]], seed: int) -> list[list[tuple[str, str]]]:
-    """Sequences of (word, language): runs of words spread over each document, half of them spliced
-    with a run of another document, so that switches of language are seen."""
+    """Sequences of (word, language): each whole text in runs of words, half of them spliced with a run of
+    another text, so that switches of language are seen."""
     draw = np.random.default_rng(seed)
     runs = []
     for text, lang in rows:
         words = words_of(text)
-        for at in draw.integers(0, max(1, len(words) - SEQUENCE + 1), min(SEQUENCES, 1 + len(words) // SEQUENCE)):
-            runs.append([(w, lang) for w in words[at : at + SEQUENCE]])
-    runs = [r for r in runs if r]
+        runs += [[(w, lang) for w in words[at : at + SEQUENCE]] for at in range(0, len(words), SEQUENCE)]
     out = []
     for r in runs:
         if draw.random() < 0.5:
@@ -99,34 +119,33 @@ def train(rows: list[tuple[str, str]], seed: int = 10) -> Field | None:
         owner.update(counts[lang])
     lexicon = {w: lang for lang in labels for w, n in counts[lang].most_common(LEXICON) if n >= 3 and n >= 0.8 * owner[w]}
     k, number = len(labels), {lang: i for i, lang in enumerate(labels)}
-    rows_of = feature_rows(list(owner), lexicon)
-    place = {w: i for i, w in enumerate(owner)}
+    flat, count = feature_rows(list(owner), lexicon)
+    first_of, place = np.cumsum(count) - count, {w: i for i, w in enumerate(owner)}
     n = len(sequences)
-    feats, gold, length = np.full((n, SEQUENCE), -1), np.zeros((n, SEQUENCE), np.int64), np.array([len(s) for s in sequences])
+    words, gold, length = np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), np.int64), np.array([len(s) for s in sequences])
     for i, s in enumerate(sequences):
-        feats[i, : len(s)] = [place[w.lower()] for w, _ in s]
+        words[i, : len(s)] = [place[w.lower()] for w, _ in s]
         gold[i, : len(s)] = [number[lang] for _, lang in s]
-    weights, trans, first = np.zeros((FEATURES + 1, k)), np.zeros((k, k)), np.zeros(k)
+    weights, trans, first = np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k)
     speed = [np.full(x.shape, 1e-2) for x in (weights, trans, first)]
-    draw, batch = np.random.default_rng(seed + 1), 64
+    draw = np.random.default_rng(seed + 1)
     for _ in range(EPOCHS):
         order = draw.permutation(n)
-        for at in range(0, n, batch):
-            b = order[at : at + batch]
-            f, y, ends = feats[b], gold[b], length[b]
-            live = np.arange(SEQUENCE) < ends[:, None]
-            words = rows_of[f] * live[..., None] + FEATURES * ~live[..., None]
-            node, edge, start = gradient(weights[words].sum(2), trans, first, y, live)
-            g = np.zeros_like(weights)
-            flat = words.reshape(-1)
-            for c in range(k):
-                g[:, c] = np.bincount(flat, np.repeat(node[..., c].reshape(-1), WIDTH), FEATURES + 1)
-            g[FEATURES] = 0
+        for at in range(0, n, STEP):
+            b = order[at : at + STEP]
+            live = np.arange(SEQUENCE) < length[b][:, None]
+            w = words[b][live]
+            c = count[w]
+            used = flat[np.repeat(first_of[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            score = np.zeros((*live.shape, k))
+            score[live] = summed(weights, used, c)
+            node, edge, start = gradient(score, trans, first, gold[b], live)
+            pull = np.repeat(node[live], c, axis=0)
+            g = np.stack([np.bincount(used, pull[:, j], FEATURES) for j in range(k)], 1)
             for x, d, s in zip((weights, trans, first), (g, edge, start), speed):
                 d = d / len(b) - 1e-5 * x
                 s += d**2
                 x += 0.5 * d / np.sqrt(s)
-            weights[FEATURES] = 0
     return Field(labels, weights.astype(np.float32), trans, first, lexicon)
 
 
@@ -218,9 +237,8 @@ class Labeller:
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            rows = feature_rows(part, self.field.lexicon)
-            self.scores = np.concatenate([self.scores, self.field.weights[rows].sum(1)])
-            self.letters = np.concatenate([self.letters, (rows != FEATURES).any(1)])
+            self.scores = np.concatenate([self.scores, word_scores(self.field.weights, part, self.field.lexicon)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(has_letter, part), bool, len(part))])
 
     def words(self, texts):
         """(marginals of all words, whether each has a letter, words of each text)."""
@@ -246,19 +264,32 @@ class Labeller:
 
 
 def fit(labelled: DataFrame, limit: int = SAMPLE_DOCS) -> Field | None:
-    """Fit on at most ``limit`` rows of (doc_id, text, lang), those of the least hashes of doc_id.
+    """Fit on at most ``limit`` whole documents of (doc_id, text, lang), spread over the languages.
 
-    Rows with a null text or lang are passed over. Without rows there is no field.
+    Every language (the LANGUAGES most frequent ones) has an equal share of the sample: those of its
+    different texts whose hashes are least, so that copies count once. Only their ids are picked
+    from the whole table; then ``limit`` texts at most reach the driver. Rows with a null text or
+    lang are passed over. Without rows there is no field.
     """
-    rows = labelled.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
-    return train([(r["text"], r["lang"]) for r in rows.orderBy("h", "doc_id", "text", "lang").limit(limit).collect()])
+    rows = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(LANGUAGES, limit)).collect()]
+    if not langs:
+        return None
+    texts = rows.where(F.col("lang").isin(langs)).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = texts.withColumn("rank", rank).where(F.col("rank") <= limit // len(langs)).select("lang", "h", F.col("doc_id").alias("picked_id"))
+    picked = labelled.sparkSession.createDataFrame(picked.collect(), picked.schema)  # ``limit`` ids at most
+    found = rows.join(F.broadcast(picked), ["lang", "h"]).where(F.col("doc_id").eqNullSafe(F.col("picked_id"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return train([(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))])
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text; other columns are not read).
 
     A text that is null or has no letter gets ``und`` and score 0, and so do all if there is no
-    field. Whole texts are labelled, in runs of many documents. No shuffle.
+    field; of equal means the language first in code point order wins. Whole texts are labelled,
+    however long they or their words are, in runs of many documents. Repeated rows each get their
+    row; an empty table gives an empty result. No shuffle.
     """
 
     def run(batches):

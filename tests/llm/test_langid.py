@@ -94,3 +94,29 @@ def test_query_on_the_small_table(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in out.collect() if r["held_out"]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
+
+
+def test_every_character_of_a_long_word_counts():
+    word = "k" * 20 + "moturi" * 40 + "z" * 20
+    grams = {f"n{word[i : i + 2]}" for i in range(len(word) - 1)} | {f"m{word[i : i + 3]}" for i in range(len(word) - 2)}
+    flat, lengths = langid.feature_rows([word, "12", "a"], {})
+    assert {langid.zlib.crc32(g.encode()) % langid.FEATURES for g in grams} <= set(flat[: lengths[0]].tolist())
+    assert lengths.tolist() == [8 + 2 * len(word) - 3, 0, 8]
+
+
+def test_long_words_score_as_the_sum_of_their_pieces(monkeypatch):
+    weights = np.random.default_rng(3).normal(size=(langid.FEATURES, 3))
+    words = ["ab", "x" * 50 + "yz" * 30, "12", "abc" * 100, "é"]
+    whole = langid.word_scores(weights, words, {"ab": "a"})
+    monkeypatch.setattr(langid, "PIECE", 7)
+    monkeypatch.setattr(langid, "GATHER", 30)
+    assert np.allclose(langid.word_scores(weights, words, {"ab": "a"}), whole)
+
+
+def test_sample_is_spread_over_languages_and_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows))
+    rows = [(i, "the same words", "aa") for i in range(500)] + [(1000 + i, f"text {i}", "bb") for i in range(300)] + [(2000, "one of its kind", "cc"), (None, "no id", "cc"), (3, None, "aa"), (4, "no lang", None)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), limit=60)
+    assert sorted({r for r in seen[0] if r[1] != "bb"}) == [("no id", "cc"), ("one of its kind", "cc"), ("the same words", "aa")]
+    assert len(seen[0]) == 3 + 20
