@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 from .common import cut, load
 
 #: Candidates and queries of a chunk.
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 8192, 2048
+#: What a long holds.
+LEAST_LONG, MOST_LONG = -(2**63), 2**63 - 1
 #: First depth of sorted access at which the bound is tested, and how the depths grow to the lists' ends.
 FIRST, GROWTH = 4, 2
 
 
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; vectors null or with null or non-finite ones are left out."""
+    """vec_id, v: floor(scale * x) of each component; vectors null or with null or non-finite ones are left out.
+
+    A component beyond a long becomes the least or greatest long.
+    """
     x = lambda e: e.cast("double")
     fine = F.forall(embedding, lambda e: e.isNotNull() & ~F.isnan(x(e)) & (F.abs(x(e)) < float("inf")))
     return rows.where(F.col(embedding).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda e: F.floor(x(e) * scale)).alias("v"))
@@ -44,7 +49,7 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, que
     query stopped, and the rows that it scored.
     """
     n, d = vectors.shape
-    exact = not n or not len(queries) or not d or float(np.abs(vectors).max()) * float(np.abs(queries).max()) * d < 2**52
+    exact = not n or not len(queries) or not d or np.abs(vectors.astype(float)).max() * np.abs(queries.astype(float)).max() * d < 2**52
     kind = np.float64 if exact else object
     v, q = vectors.astype(kind), queries.astype(kind)
     order = np.argsort(vectors, axis=0, kind="stable")  # the sorted lists, least first
@@ -62,11 +67,13 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, que
                 new = np.flatnonzero(~seen)
             seen[new] = True
             new = new[uids[new] != own[i]]
-            places, scores = np.concatenate([places, new]), np.concatenate([scores, v[new] @ q[i]])
+            found = v[new] @ q[i]
+            found = found if exact else np.minimum(np.maximum(found, LEAST_LONG), MOST_LONG)
+            places, scores = np.concatenate([places, new]), np.concatenate([scores, found])
             if depth >= n or seen.all():  # no row is left that the lists could still bring
                 break
             bound = (q[i, up] * v[order[n - depth, up], up]).sum() + (q[i, down] * v[order[depth - 1, down], down]).sum()
-            if len(scores) >= k and bound < np.partition(scores, len(scores) - k)[len(scores) - k]:
+            if len(scores) >= k and max(bound, LEAST_LONG) < np.partition(scores, len(scores) - k)[len(scores) - k]:
                 break
             before, depth = depth, min(depth * GROWTH, n)
         seen[:] = met[:] = False
@@ -83,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     vectors: vec_id, v (array of long). is_query: condition on vec_id. Ties go to the smaller vec_id.
     Rows of the same vec_id are rows of their own, and each query row has its own ranks. Vectors meet
     only vectors of the same length. Fewer others than k give fewer rows; an empty table gives none.
-    Returns query_id, rank (from 1), vec_id, score.
+    A score beyond a long counts as the least or greatest long. Returns query_id, rank (from 1), vec_id, score.
     """
     spark = vectors.sparkSession
     rows = cut(vectors.select("vec_id", "v").withColumn("uid", F.monotonically_increasing_id()))

@@ -68,3 +68,9 @@ def test_reads_on_until_the_bound_stops_it():
         s = v @ q
         best = np.lexsort((ids, -s))[:5]
         assert places.tolist() == best.tolist() and [int(x) for x in scores] == s[best].tolist()
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 5.0]), (3, [1.0, 1.0]), (4, [3e38, 3e38])]
+    out = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") == 0, k=4).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 2**63 - 1), (2, -(2**63))]
