@@ -1,8 +1,10 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
-The words of a source, in a pseudorandom order of its documents, form blocks of BLOCK words. Each
-output shard draws how many blocks it takes from each source; a source's draws are numbered through
-all shards, and number j takes block permutation(j mod blocks) of pass j div blocks.
+The words of a source, in a pseudorandom order of its documents, form blocks of equal length. Each
+output shard draws from a multinomial how many blocks it takes from each source; a source's draws are
+numbered through all shards, and number j takes block permutation(j mod blocks) of pass j div blocks.
+The odds of a shard's draw are what each source still lacks of its target, so that the noise of the
+shards before it is made good, and at the end only that of the last draw is left.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load, materialize
+from .common import WORD, cut, fresh, load, materialize
 
-#: Words of a block, slots of an output shard, most passes over a source, hash buckets of a source.
-BLOCK, SLOTS, PASSES, BUCKETS = 64, 1 << 16, 3, 512
+#: Least words of a block, and blocks that a mix has at most: beyond, all blocks get longer.
+BLOCK, BLOCKS = 64, 1 << 28
+#: Output shards (at least and at most) and the slots of one between; most passes over a source.
+SHARDS, SLOTS, PASSES = (64, 1024), 1 << 16, 3
+#: Rows of a hash bucket of a source, about, and least buckets. Sources up to which their table is broadcast.
+BUCKET_ROWS, BUCKETS, FEW = 50_000, 512, 10_000
 
 
 def targets(sizes: list[int], weights: list[int], passes: int = PASSES) -> list[float]:
@@ -54,40 +60,44 @@ def permute(j: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw_counts(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndarray:
-    """Blocks that a shard takes from each source: whole expected counts, and a multinomial draw of
-    the slots left over, with the fractions as odds (the full draw's mean with less noise)."""
-    expected = slots * share
-    sure = np.floor(expected + 1e-9).astype(np.int64)
-    rest = np.clip(expected - sure, 0, None)
-    if rest.sum() > 0 and slots > sure.sum():
-        sure += np.random.default_rng([seed, shard]).multinomial(slots - sure.sum(), rest / rest.sum())
-    return sure
+def draw_counts(want: np.ndarray, most: np.ndarray, seed: int) -> np.ndarray:
+    """shards x sources: blocks that each output shard takes of each source, multinomial draws.
+
+    want: expected blocks of each source; most: blocks it can give. Draws above that are drawn anew
+    among the sources that have blocks left.
+    """
+    slots = int(min(round(float(want.sum())), most.sum()))
+    shards = min(max(slots, 1), SHARDS[1], max(SHARDS[0], slots // SLOTS))
+    out = np.zeros((shards, len(want)), np.int64)
+    draw, given = np.random.default_rng(seed), np.zeros(len(want), np.int64)
+    for shard in range(shards):
+        left = slots * (shard + 1) // shards - slots * shard // shards
+        while left:
+            odds = np.where(given < most, np.maximum(want - given, 0), 0)
+            if not odds.sum() > 0:
+                odds = (most - given).astype(float)
+            n = draw.multinomial(left, odds / odds.sum())
+            n = np.minimum(n, most - given)
+            out[shard] += n
+            given += n
+            left -= int(n.sum())
+    return out
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def taken_blocks(source_rows: list, seed: int, spark: SparkSession) -> DataFrame:
+def taken_blocks(source_rows: list, block: int, seed: int, spark: SparkSession) -> DataFrame:
     """k, block, pass: the blocks that the mix takes. source_rows: (size, target) of source k, in order."""
-    blocks = [-(-size // BLOCK) for size, _ in source_rows]
+    blocks = np.array([-(-size // block) for size, _ in source_rows], np.int64)
     want = np.array([t * b / s if s else 0.0 for (s, t), b in zip(source_rows, blocks)])
-    slots = int(round(want.sum()))
-    share = want / want.sum() if slots else want
-    shards = max(1, -(-slots // SLOTS))
-
-    def draw(frames):
-        for frame in frames:
-            for shard in frame["id"]:
-                n = draw_counts(int(shard), min(SLOTS, slots - int(shard) * SLOTS), share, seed)
-                yield pd.DataFrame({"shard": shard, "k": np.flatnonzero(n), "n": n[n > 0], "blocks": np.array(blocks)[n > 0]})
-
-    drawn = spark.range(shards).mapInPandas(draw, "shard long, k int, n long, blocks long")
-    through = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.withColumn("first", F.sum("n").over(through) - F.col("n"))
+    counts = draw_counts(want, PASSES * blocks, seed)
+    first = np.cumsum(counts, axis=0) - counts
+    shard, k = np.nonzero(counts)
+    drawn = pd.DataFrame({"shard": shard, "k": k.astype(np.int32), "n": counts[shard, k], "first": first[shard, k], "blocks": blocks[k]})
+    drawn = spark.createDataFrame(drawn, "shard long, k int, n long, first long, blocks long")  # SHARDS rows of each source at most
     slot = drawn.repartition("shard", "k").select("k", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
-    slot = slot.where(F.col("j") < PASSES * F.col("blocks"))  # a draw above the last pass has nothing to take
 
     @F.pandas_udf("long")
     def place(j: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
@@ -99,55 +109,61 @@ def taken_blocks(source_rows: list, seed: int, spark: SparkSession) -> DataFrame
 def mix(docs: DataFrame, weights=(1, 2, 3), seed: int = 8, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    docs: doc_id, text, source, and if numbered a unique long uid. documents: uid, doc_id, source, size, source_size, target, taken, a
-    row for every row of docs. pieces: uid, pass, lo, hi: words lo to hi of a document that the mix
-    takes in that pass. Sources in code point order, null last and a source of its own, have the
-    weights in turn. A text without words, or null, has size 0 and nothing taken. One row per source
-    reaches the driver. An empty table gives empty results.
+    docs: doc_id, text, source, and if numbered a unique long uid; other columns are not read. documents: uid, doc_id,
+    source, size, source_size, target, taken, a row for every row of docs. pieces: uid, pass, lo, hi: words lo to hi of
+    a document that the mix takes in that pass. Sources in code point order, null last and a source of its own, have
+    the weights in turn. A text without words, or null, has size 0 and nothing taken; long texts are many blocks.
+    Repeated rows are documents of their own. Documents stand in an order of hashes, equal ones (ties) in order of
+    doc_id, size and row. One row per source reaches the driver. An empty table gives empty results.
     """
     spark = docs.sparkSession
     rows = cut(sized(docs, "uid") if numbered else sized(docs).withColumn("uid", F.monotonically_increasing_id()))
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     goal = targets([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))])
-    source = spark.createDataFrame([(k, r["source"], r["size"], t) for k, (r, t) in enumerate(zip(found, goal))], "k int, source string, source_size long, target double")
-    rows = rows.join(F.broadcast(source.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # one row per source
-    rows = rows.withColumns({"h": F.xxhash64("doc_id", F.lit(seed)), "bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(BUCKETS))})
-    sums = rows.groupBy("k", "bucket").agg(F.sum("size").alias("b"))  # sources * BUCKETS rows
+    length = max(BLOCK, -(-sum(r["size"] for r in found) // BLOCKS))
+    buckets = max(BUCKETS, max((r["n"] for r in found), default=0) // BUCKET_ROWS)
+    source = spark.createDataFrame([(k, r["source"], r["size"], t) for k, (r, t) in enumerate(zip(found, goal))], "k int, name string, source_size long, target double")
+    source = F.broadcast(source) if len(found) <= FEW else source.hint("merge")
+    rows = rows.join(source, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = rows.withColumns({"h": F.xxhash64("doc_id", F.lit(seed)), "bucket": F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.lit(buckets))})
+    sums = rows.groupBy("k", "bucket").agg(F.sum("size").alias("b"))
     sums = sums.select("k", "bucket", (F.sum("b").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("base"))
     inside = Window.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("size").over(inside)).join(sums, ["k", "bucket"])
+    rows = rows.withColumn("end", F.sum("size").over(inside)).join(sums.hint("merge"), ["k", "bucket"])
     rows = rows.select("uid", "doc_id", "source", "size", "source_size", "target", "k", (F.col("base") + F.col("end") - F.col("size")).alias("start"))
-    block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)))
+    block = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)))
     parts = rows.where("size > 0").select("uid", "k", "start", "size", block.alias("block"))
     parts = parts.select(
         "uid", "k", "block",
-        (F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")).alias("lo"),
-        (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.col("start")).alias("hi"),
+        (F.greatest(F.col("start"), F.col("block") * length) - F.col("start")).alias("lo"),
+        (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length) - F.col("start")).alias("hi"),
     )
-    pieces = parts.join(taken_blocks([(r["size"], t) for r, t in zip(found, goal)], seed, spark), ["k", "block"]).select("uid", "pass", "lo", "hi")
+    pieces = parts.join(taken_blocks([(r["size"], t) for r, t in zip(found, goal)], length, seed, spark).hint("merge"), ["k", "block"]).select("uid", "pass", "lo", "hi")
     taken = pieces.groupBy("uid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    documents = rows.join(taken, "uid", "left").select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = rows.join(taken.hint("merge"), "uid", "left").select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return documents, pieces
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), seed: int = 8) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each document and pass that takes words
-    of it, its text being those words as they stand (parts that do not touch joined by a line break),
-    n_chars made to fit if present. Documents of which nothing is taken are not in the mix."""
-    numbered = materialize(docs.withColumn("uid", F.monotonically_increasing_id()))
+    """The mix itself, with the columns of ``docs``, whatever their names: a row for each document and pass that takes
+    words of it, its text being those words as they stand (parts that do not touch joined by a line break), n_chars made
+    to fit if present. Documents of which nothing is taken, null and empty texts among them, are not in the mix. See mix()."""
+    uid, parts, turn = fresh("uid", docs), fresh("taken pieces", docs), fresh("pass", docs)
+    numbered = materialize(docs.withColumn(uid, F.monotonically_increasing_id()))
     size = len(docs.columns)
-    _, pieces = mix(numbered.select("uid", "doc_id", "text", "source"), weights, seed, numbered=True)
-    taken = pieces.groupBy("uid", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("taken"))  # as many as a text has blocks
-    rows = numbered.join(taken, "uid").select(*docs.columns, F.col("taken").alias("taken pieces"))
+    _, pieces = mix(numbered.select(F.col(uid).alias("uid"), "doc_id", "text", "source"), weights, seed, numbered=True)
+    taken = pieces.groupBy(F.col("uid").alias(uid), F.col("pass").alias(turn)).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias(parts))  # as many as a text has blocks
+    rows = numbered.join(taken.hint("merge"), uid).drop(uid, turn)
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 names = part.schema.names[:size]
-                texts = [excerpt(t, p) for t, p in zip(part.column(names.index("text")).to_pylist(), part.column(size).to_pylist())]
+                texts = [excerpt(t, p) for t, p in zip(part.column(at).to_pylist(), part.column(size).to_pylist())]
                 new = {"text": texts, "n_chars": [len(t) for t in texts]}
-                yield pa.RecordBatch.from_arrays([pa.array(new[c], part.schema.field(i).type) if c in new else part.column(i) for i, c in enumerate(names)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(new[c.lower()], part.schema.field(i).type) if c.lower() in new else part.column(i) for i, c in enumerate(names)], names)
 
     return rows.mapInArrow(run, docs.schema)
 
