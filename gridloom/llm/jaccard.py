@@ -10,9 +10,11 @@ last, so that two linked sets share c of the first n - ceil(0.8 n) + c shingles
 * sets that are light but could link to a heavy one do both.
 
 The boundary minimizes the keys written plus the list entries scanned, by the sizes of all sets and
-the frequencies of all repeated shingles. List members are compared with a hub of the list first;
-connected members are contracted, and only pairs of members in different components are compared
-after that, so that no link between components is lost and no list is expanded into all its pairs.
+the frequencies of all repeated shingles. Members of a list whose sizes and places rule out every
+other member leave it. The rest are compared with a hub of the list first; connected members are
+contracted, and only members in different components are compared after that, so that no link between
+components is lost. A list that still holds many components is split before that: c shared shingles
+of the prefix become c + 1, as linked sets also share that many, until lists are short or c is DEEPEST.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, materialize
+from .common import cut, fresh, load, materialize
 from .components import connected_components
 
 
@@ -37,6 +39,8 @@ WORDS, NUM, DEN = 5, 4, 5
 COUNTED, FREQUENT = 3_000_000, 200_000
 #: Cost of comparing two sets, in keys written.
 COMPARE = 50
+#: Components of a list above which it is split by a further shingle, and shingles of a key at most. Neither changes a result.
+CROWD, DEEPEST = 64, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,9 +75,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def digest(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def describe(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows of two kinds. Of each document (kind 0): doc_id, n, a and b, two hashes of its set. Of
-    each shingle repeated among documents read together (kind 1): a, the shingle, and n, how often."""
+    """Rows of two kinds. Of each document (kind 0): doc_id, t (a hash of its text), n, a and b, two hashes of its set.
+    Of each shingle repeated among documents read together (kind 1): a, the shingle, and n, how often."""
 
     def run(batches):
         ahead, held = [], 0
@@ -82,30 +92,46 @@ def describe(docs: DataFrame, seed: int) -> DataFrame:
             values, n = np.unique(np.concatenate(ahead), return_counts=True)
             values, n = values[n > 1], n[n > 1]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), none, pa.array(n, pa.int64()), pa.array(values.view(np.int64)), none], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), none, none, pa.array(n, pa.int64()), pa.array(values.view(np.int64)), none], NAMES)
 
         for batch in batches:
-            ids = batch.column(0)
             for at in range(0, batch.num_rows, 256):
-                out = []
-                for text in batch.column(1).slice(at, 256).to_pylist():
+                part, out = batch.slice(at, 256), []
+                for text in part.column(1).to_pylist():
                     s = shingle_hashes(text)
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
-                    out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                    out.append((len(s), *digest(s, seed)))
                     ahead.append(s)
                     held += len(s)
                 n, a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids.slice(at, 256), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], NAMES)
                 if held > COUNTED:
                     yield counts()
                     ahead, held = [], 0
         if ahead:
             yield counts()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "kind int, doc_id long, t long, n long, a long, b long")
+
 
+NAMES = ["kind", "doc_id", "t", "n", "a", "b"]
 
-NAMES = ["kind", "doc_id", "n", "a", "b"]
+
+def most_frequent(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """(shingles that repeat most, sorted; sum of the squares of the other counts).
+
+    A histogram of the counts, of a bounded number of levels, gives the count from which at most FREQUENT
+    shingles stand; those alone reach the driver.
+    """
+    level = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("n") / 1024) * 64))
+    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()
+    total, least, rest = 0, None, sum(r["squares"] for r in levels)
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total += r["k"]
+        if total > FREQUENT:
+            break
+        least, rest = r["least"], rest - r["squares"]
+    top = counted.where(F.col("n") >= least).select("a").collect() if least is not None else []
+    return np.sort(np.array([r["a"] for r in top], np.int64).view(np.uint64)), rest
 
 
 def boundary(sizes: list[tuple[int, int]], scanned: float) -> int:
@@ -129,12 +155,29 @@ def boundary(sizes: list[tuple[int, int]], scanned: float) -> int:
     return best[1]
 
 
-def list_entries(docs: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataFrame:
-    """key, node, n, place: the lists in which each set stands, and where in its order the key ends."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def in_order(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order of all prefixes: frequent ones last."""
+    if not len(often):
+        return s
+    found = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+    return np.concatenate([s[~found], s[found]])
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The key of a key and a further shingle."""
+    return (x ^ (y >> np.uint64(17)) ^ (y << np.uint64(47))) * MULTIPLIER + y
+
+
+#: key, node, n, at: the list, a member (the first hash of its set), its size, and where its key ends in its order: at is 16
+#: times the shingles before the key's last that are not of the key, plus the shingles of the key.
+ENTRY, FIELDS, PLACE = "key long, node long, n int, at int", ["key", "node", "n", "at"], 16
+
+
+def list_entries(docs: DataFrame, frequent, light: int, seed: int) -> DataFrame:
+    """The lists (ENTRY) in which each set stands. frequent: a broadcast array."""
 
     def run(batches):
-        often = shared.value
+        often = frequent.value
         for batch in batches:
             keys, nodes, sizes, places = [], [], [], []
             for text in batch.column(0).to_pylist():
@@ -142,32 +185,28 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, light: int, seed: int) -
                 n = len(s)
                 if n < 2:
                     continue  # links to equal sets only
-                if len(often):
-                    found = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    order = np.concatenate([s[~found], s[found]])
-                else:
-                    order = s
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()[:8], "little", signed=True)
-                p = n - at_least(n)
+                order, node, p = in_order(s, often), digest(s, seed)[0], n - at_least(n)
                 if n <= light:
                     pairs = np.array(list(combinations(range(min(n, p + 2)), 2)))
-                    x, y = order[pairs[:, 0]], order[pairs[:, 1]]
-                    k = (x ^ (y >> np.uint64(17)) ^ (y << np.uint64(47))) * MULTIPLIER + y
+                    k = joined(order[pairs[:, 0]], order[pairs[:, 1]])
                     keys.append(k)
-                    places.append(pairs[:, 1] - 1)
+                    places.append((pairs[:, 1] - 1) * PLACE + 2)
                     nodes.append(np.full(len(k), node, np.int64))
                     sizes.append(np.full(len(k), n, np.int32))
                 if DEN * n > NUM * light:
                     keys.append(order[: p + 1])
-                    places.append(np.arange(p + 1))
+                    places.append(np.arange(p + 1) * PLACE + 1)
                     nodes.append(np.full(p + 1, node, np.int64))
                     sizes.append(np.full(p + 1, n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "node", "n", "place"]
-                )
+                yield entries(keys, nodes, sizes, places)
+
+    return docs.select("text").mapInArrow(run, ENTRY)
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, place int")
+
+def entries(keys, nodes, sizes, places) -> pa.RecordBatch:
+    columns = (np.concatenate(x) for x in (keys, nodes, sizes, places))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(t) if x.dtype != np.uint64 else x.view(t)) for x, t in zip(columns, (np.int64, np.int64, np.int32, np.int32))], FIELDS)
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
@@ -196,23 +235,37 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             if held is not None:
                 shared[0] |= held[1]
             held = [r[-1:].copy() for r in rows], bool(shared[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][shared[:-1]]) for r in rows], ["key", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][shared[:-1]]) for r in rows], FIELDS)
         if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in held[0]], ["key", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in held[0]], FIELDS)
 
     sorted_ = entries.repartition("key").sortWithinPartitions("key", "node")
-    return sorted_.mapInArrow(run, "key long, node long, n int, place int")
+    return sorted_.mapInArrow(run, ENTRY)
 
 
 def may_link(x: str, y: str) -> F.Column:
     """Whether sizes, and what follows their first shared key, leave room for the similarity."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    room = F.least(nx - F.col(f"{x}.place"), ny - F.col(f"{y}.place"))
+    place = lambda z: F.floor(F.col(f"{z}.at") / PLACE)
+    room = F.least(nx - place(x), ny - place(y))
     return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & ((NUM + DEN) * room >= NUM * (nx + ny))
 
 
+def with_partners(lists: DataFrame) -> DataFrame:
+    """The entries that may link to another member of their list.
+
+    Members of equal size and place are one row here, so a list of any length is as many rows as it
+    has sizes and places.
+    """
+    kinds = lists.groupBy("key", "n", "at").agg((F.count("*") > 1).alias("several"))
+    x, y = kinds.alias("x"), kinds.alias("y")
+    other = (F.col("x.n") != F.col("y.n")) | (F.col("x.at") != F.col("y.at")) | F.col("x.several")
+    able = x.join(y, (F.col("x.key") == F.col("y.key")) & other & may_link("x", "y"), "left_semi").select("key", "n", "at")
+    return lists.join(able.hint("merge"), ["key", "n", "at"], "left_semi").select(FIELDS)
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """node, shingles (5 bytes each, in two sorted parts) of the given nodes, one row per node."""
+    """node, shingles (see pack) of the given nodes, one row per node."""
 
     def run(batches):
         for batch in batches:
@@ -220,21 +273,19 @@ def sets_of(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 out = {}
                 for text in batch.column(0).slice(at, 256).to_pylist():
                     s = shingle_hashes(text)
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
-                    out[int.from_bytes(d[:8], "little", signed=True)] = pack(s)
+                    out[digest(s, seed)[0]] = pack(s)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["node", "shingles"])
 
     return docs.select("text").mapInArrow(run, "node long, shingles binary").join(nodes, "node").dropDuplicates(["node"])
 
 
 def pack(s: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted hashes: 8 bits of each (long runs), then 32."""
-    return (s >> np.uint64(56)).astype(np.uint8).tobytes() + (s >> np.uint64(24)).astype("<u4").tobytes()
+    """All 64 bits of sorted hashes: first bytes (long runs), then second bytes, and so on."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    return np.frombuffer(blob, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, "<u4", n, n)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,37 +304,70 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each member of a list with the member that stands in most lists."""
+    """(a, b): each member of a list with the member that stands in most lists.
+
+    The hub is found by partial maxima; a long list meets it in a join of one row a list, which splits.
+    """
     lists = lists.join(lists.groupBy("node").agg(F.count("*").alias("stands")), "node")
-    member = F.struct("stands", "node", "n", "place")
-    hub = F.max(member).over(Window.partitionBy("key"))
-    rows = lists.select(F.struct("node", "n", "place").alias("x"), hub.alias("y"))
+    hubs = lists.groupBy("key").agg(F.max(F.struct("stands", "node", "n", "at")).alias("y"))
+    rows = lists.select("key", F.struct("node", "n", "at").alias("x")).join(hubs.hint("merge"), "key")
     return rows.where((F.col("x.node") != F.col("y.node")) & may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def crossing_pairs(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b): pairs of list members in different components.
+def deeper(lists: DataFrame, sets: DataFrame, frequent) -> DataFrame:
+    """The lists split: every member goes to the lists of its key and one further shingle of its prefix.
 
-    The component with most members of a list is its main one; only the others, the strays, are
-    paired, with all members of other components.
+    Two linked sets share c + 1 shingles of their prefixes of n - ceil(0.8 n) + c + 1, so they meet again.
     """
-    lists = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = lists.groupBy("key", "component").agg(F.count("*").alias("members"))
-    main = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    lists = cut(lists.join(main.select("key", F.col("m.component").alias("main")), "key"))
-    x, y = lists.where("component <> main").alias("x"), lists.alias("y")
-    rows = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
-    return rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
+    def run(batches):
+        often = frequent.value
+        for batch in batches:
+            keys, nodes, sizes, places = [], [], [], []
+            for key, node, n, at, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                count = at % PLACE
+                last = at // PLACE + count - 1
+                end = min(n, n - at_least(n) + count + 1)
+                order = in_order(unpack(blob), often)[last + 1 : end]
+                with np.errstate(over="ignore"):
+                    keys.append(joined(np.array([key], np.int64).view(np.uint64), order))
+                nodes.append(np.full(len(order), node, np.int64))
+                sizes.append(np.full(len(order), n, np.int32))
+                places.append((np.arange(last + 1, end) - count) * PLACE + count + 1)
+            if keys:
+                yield entries(keys, nodes, sizes, places)
+
+    rows = lists.select(FIELDS).join(sets, "node").select(*FIELDS, "shingles").mapInArrow(run, ENTRY)
+    return with_partners(materialize(shared_lists(rows)))
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; others are not read).
 
-    component_id is the smallest doc_id that links reach. A text that is null or has no word is an
-    empty set, linked with nothing. Rows of equal sets, copies of a row among them, share a component
-    whatever their number; a doc_id that repeats with other texts counts as so many documents. An
-    empty table gives an empty result.
+def crossing_pairs(lists: DataFrame, components: DataFrame, sets: DataFrame, frequent) -> DataFrame:
+    """(a, b): pairs of list members in different components.
+
+    The component with most members of a list is its main one; only the others, the strays, are
+    paired, with all members of other components. Lists of more than CROWD components are split first.
     """
+    out = None
+    for depth in range(1, DEEPEST + 1):
+        known = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = known.groupBy("key", "component").agg(F.count("*").alias("members"))
+        main = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        known = cut(known.join(main.select("key", "parts", F.col("m.component").alias("main")).hint("merge"), "key"))
+        crowded = F.col("parts") > CROWD if depth < DEEPEST else F.lit(False)
+        short = known.where(~crowded)
+        x, y = short.where("component <> main").alias("x"), short.alias("y")
+        rows = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
+        rows = rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        out = rows if out is None else out.union(rows)
+        lists = known.where(crowded)
+        if depth == DEEPEST or lists.isEmpty():
+            return out.distinct()
+        lists = deeper(lists, sets, frequent)
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n, component_id, part of every row of ``docs``: t is xxhash64 of the text, n the size of its set, and part
+    the number of its component (null for an empty set)."""
     for seed in range(8):
         described = cut(describe(docs, seed))
         rows = described.where("kind = 0")
@@ -292,34 +376,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("sets of different documents kept colliding")
-    counted = cut(described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")))
-    top = counted.orderBy(F.desc("n"), "a").limit(FREQUENT).collect()  # FREQUENT numbers at most
-    sizes = [(r[0], r[1]) for r in classes.groupBy("n").count().collect()]  # one row per set size
-    rest = (counted.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) - sum(r["n"] ** 2 for r in top)
+    often, rest = most_frequent(described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 64)  # a bounded number of levels of size
+    sizes = [(int(r["size"]), r["k"]) for r in classes.groupBy(level).agg(F.max("n").alias("size"), F.count("*").alias("k")).collect()]
     light = boundary(sizes, COMPARE * rest / max(1, sum(n * c for n, c in sizes)))
-    frequent = np.sort(np.array([r["a"] for r in top], np.int64).view(np.uint64))
-    lists = materialize(shared_lists(list_entries(docs, frequent, light, seed)))
+    frequent = docs.sparkSession.sparkContext.broadcast(often)  # FREQUENT numbers at most
+    lists = materialize(with_partners(materialize(shared_lists(list_entries(docs, frequent, light, seed)))))
     sets = materialize(sets_of(docs, lists.select("node").distinct(), seed))
     tried = cut(hub_pairs(lists))
     links = cut(verified(tried, sets))
-    more = crossing_pairs(lists, connected_components(links))
+    more = crossing_pairs(lists, connected_components(links), sets, frequent)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(ordered(more).join(ordered(tried), ["a", "b"], "left_anti").distinct())
     found = cut(verified(more, sets))
     parts = connected_components(links if found.isEmpty() else links.union(found))
     parts = classes.select(F.col("a"), "root").join(parts, F.col("a") == F.col("node"), "left").select("a", "root", F.coalesce("component", "a").alias("part"))
     least = parts.groupBy("part").agg(F.min("root").alias("component_id"))
-    parts = parts.join(least, "part").select("a", "component_id")
-    return rows.join(parts, "a", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    parts = parts.join(least, "part").select(F.col("a").alias("node"), "part", "component_id")
+    return rows.join(parts, (F.col("n") > 0) & (F.col("a") == F.col("node")), "left").select("doc_id", "t", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "part")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; others are not read).
+
+    component_id is the smallest doc_id that links reach; ties do not arise. A text that is null or has no word is an
+    empty set, linked with nothing. Whole texts count, however long. Rows of equal sets, copies of a row among them,
+    share a component whatever their number; a doc_id that repeats with other texts counts as so many documents. An
+    empty table gives an empty result.
+    """
+    return grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay, whatever their names.
 
-    Of rows that share doc_id and text one stays. Documents without words are in no group and stay.
+    Of rows that share doc_id and text one stays; of those of a component that share its smallest
+    doc_id with different texts the one of the least text hash. Documents without words are in no
+    group and stay. An empty table gives an empty result.
     """
-    keep = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    doc_id, t = fresh("kept_id", docs), fresh("kept_text", docs)
+    rows = grouped(docs.select("doc_id", "text"))
+    heads = rows.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("m")).select("m.doc_id", "m.t")
+    keep = heads.union(rows.where("part is null").select("doc_id", "t")).distinct().withColumnsRenamed({"doc_id": doc_id, "t": t})
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.xxhash64("text").eqNullSafe(F.col(t))
+    return docs.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op3_heavy_light_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

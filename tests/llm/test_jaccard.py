@@ -73,6 +73,41 @@ def test_small_batches(spark, monkeypatch):
     check(spark, variants(9, 15), "doc_id long, text string")
 
 
+def test_crowded_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    for light in (0, 10**6):
+        monkeypatch.setattr(jaccard, "boundary", lambda *_, light=light: light)
+        check(spark, variants(21 + light, 12), "doc_id long, text string")
+
+
+def test_a_passage_that_all_documents_share(spark):
+    """10,000 documents share one passage and nothing else: they must not be compared in pairs."""
+    draw = random.Random(5)
+    passage = " ".join(draw.choice(C.VOCABULARY) + str(i) for i in range(20))
+    rows = [(i, f"{passage} {' '.join(f'own{i}x{j}' for j in range(3 + i % 3))}") for i in range(10_000)]
+    rows += [(10_000 + i, rows[i][1] + " more") for i in range(0, 50)]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(out[i] == i for i in range(10_000)) and all(out[10_000 + i] in (i, 10_000 + i) for i in range(50))
+    small = [r for r in rows if r[0] < 120 or r[0] >= 10_000]
+    assert {d: c for d, _, c in brute(small)} == {d: c for d, c in out.items() if d < 120 or d >= 10_000}
+
+
+def test_all_bits_of_a_shingle_count():
+    s = jaccard.shingle_hashes(" ".join(f"w{i}" for i in range(500)))
+    assert jaccard.unpack(jaccard.pack(s)).tolist() == s.tolist() and jaccard.unpack(jaccard.pack(s[:0])).tolist() == []
+    assert not jaccard.linked(s, jaccard.unpack(jaccard.pack(s)) ^ jaccard.np.uint64(1))
+
+
+def test_keep_one_of_repeated_ids_and_clashing_names(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words), (1, words + " more"), (2, words), (3, "alone"), (3, words + " more"), (None, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS kept_id", "2 AS kept_text", "3 AS part", "4 AS t", "5 AS n")
+    kept = jaccard.keep_one(df)
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert kept.columns == df.columns and found in ([(0, ""), (0, "x"), (1, words), (3, "alone")], [(0, ""), (0, "x"), (1, words + " more"), (3, "alone")])
+
+
 def test_empty(spark):
     assert jaccard.near_duplicates(C.empty(spark)).count() == 0
     assert jaccard.keep_one(C.empty(spark)).count() == 0
