@@ -40,7 +40,8 @@ COUNTED, FREQUENT = 3_000_000, 200_000
 #: Cost of comparing two sets, in keys written.
 COMPARE = 50
 #: Components of a list above which it is split by a further shingle, and shingles of a key at most. Neither changes a result.
-CROWD, DEEPEST = 64, 8
+#: A split writes each member once for every further shingle of its prefix, so it pays for long lists only.
+CROWD, DEEPEST = 2048, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
