@@ -17,12 +17,15 @@ SYMBOLS_PER_WORD, SEPARATORS_PER_WORD = 0.5, 0.2
 
 SYMBOLS = "#*$%&|<>"
 SEPARATOR = re.compile("[|»›•·]|->|::")
-TERMINAL = re.compile("[.!?…。:;][\"'’”»)\\]]*$")
+#: Marks that end a sentence or open a list, in the scripts that have marks of their own.
+TERMINAL = re.compile("[.!?…:;。！？．：；｡։؟؛۔।॥။።፧៕᠃᠉][\"'’”»)\\]）」』】]*$")
 #: Phrases of licence, consent, account and sharing lines.
 BOILERPLATE = re.compile(
     r"all rights reserved|(licen[sc]ed|released|distributed) under (the|a|cc|an)\b|privacy policy|cookie policy|accept (all )?cookies|uses? cookies"
     r"|terms (of|and) (use|service|conditions)|copyright (\(c\)|©|\d{4})|enable javascript|lorem ipsum|sign (in|up) (to|for|with)|log in to"
-    r"|subscribe to (our|the)|click here|read more|share (this|on) |follow us|back to top|skip to content|powered by ",
+    r"|subscribe to (our|the)|click here|read more|share (this|on) |follow us|back to top|skip to content|powered by "
+    r"|alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|tous droits r[ée]serv|politique de confidentialit|conditions d.utilisation"
+    r"|todos los derechos reservados|pol[íi]tica de (privacidad|cookies)|t[ée]rminos (y condiciones|de (uso|servicio))",
     re.IGNORECASE,
 )
 RULES = ("punctuation", "navigation", "symbols", "shouting", "boilerplate", "repeated")
@@ -112,7 +115,8 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
     Returns doc_id; n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text;
     base_failed; kept; failed lines by rule; and with_text the text without its failing lines. Lines
     without words are neither judged nor removed. A null or empty text has no words and is rejected.
-    Repeated rows are judged each on its own; an empty table gives an empty result. No shuffle.
+    Whole texts are judged, however long; a line that fails several rules (a tie) counts for the first of
+    them. Repeated rows are judged each on its own; an empty table gives an empty result. No shuffle.
     """
     width = len(COLUMNS) - (not with_text)
     kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[t] for t in TYPES]
@@ -128,7 +132,8 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their failing lines: same columns, n_chars to fit if present."""
+    """The documents that are kept, without their failing lines: same columns, whatever their names, n_chars to fit if
+    present. Null and empty texts go; repeated rows are judged each on its own; an empty table stays empty. No shuffle."""
     kinds, names = docs.schema, docs.columns
 
     def run(batches):

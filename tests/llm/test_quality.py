@@ -31,6 +31,44 @@ def test_base_figures(spark):
     assert all(not r["kept"] for r in out if r["base_failed"])
 
 
+PHRASES = ("all rights reserved", "privacy policy", "cookie policy", "lorem ipsum", "click here", "read more", "follow us", "back to top")
+ENDS = ".!?…:;。！？؟।"
+
+
+def brute_kept(text):
+    """The verdict, rule by rule in plain words, for texts whose boilerplate is among PHRASES."""
+    if brute(text)[-1]:
+        return False
+    before, left, total = set(), 0, 0
+    for line in text.split("\n"):
+        words = C.WORD.findall(line)
+        size = sum(map(len, words))
+        total += size
+        again = line in before
+        before.add(line)
+        bars = sum(line.count(c) for c in "|»›•·") + line.count("->") + line.count("::")
+        symbols = sum(line.count(c) for c in "#*$%&|<>")
+        loud = "!!" in line or len(words) >= 3 and line.upper() == line and line.lower() != line
+        stock = any(p in line.lower() for p in PHRASES)
+        end = line.strip().rstrip("\"'’”»)]")[-1:]
+        if words and not (again or bars > 0.2 * len(words) or symbols > 0.5 * len(words) or loud or stock or end not in ENDS or not end):
+            left += size
+    return left >= 0.5 * total
+
+
+def test_verdict_against_brute_force(spark):
+    draw = random.Random(8)
+    bad = ["Home | About | Jobs | Contact us", "ALL OF THIS IS LOUD.", "no stop here at all and so on", "Read more about all of it.", "$$ %% && ## x.", "what!! a line this is.", "a -> b -> c -> d."]
+    rows = []
+    for i in range(300):
+        lines = C.prose(draw, draw.randint(3, 12)).split("\n")
+        lines += [draw.choice(bad) + draw.choice(["", " ", ""]) for _ in range(draw.randint(0, 16))] + [lines[0]] * draw.randint(0, 3) + ["यह एक वाक्य है।", "هل هذا سؤال؟", ""]
+        draw.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    out = {r["doc_id"]: r["kept"] for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: brute_kept(t) for i, t in rows} and 30 < sum(out.values()) < 270
+
+
 def test_rules():
     lines = C.prose(random.Random(3), 12).split("\n")
     body = "\n".join(lines)
