@@ -11,11 +11,11 @@ from .common import cut, load
 from .tokens import encoder, slices
 
 #: Lengths of one step of the two-level sums.
-STEP = 1024
+STEP = 128
 
 
 def encoded_lengths(docs: DataFrame, file: str, extra: int = 0) -> DataFrame:
-    """One row (n_tokens) per document: ids of its whole text plus ``extra``. A null text has none."""
+    """One row (n_tokens) per document: ids of its whole text, however long, plus ``extra``. A null text has none."""
 
     def count(batches):
         enc = encoder(file)
@@ -39,18 +39,17 @@ def histogram(lengths: DataFrame) -> DataFrame:
     by_length = lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
     by_length = cut(by_length.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("step", F.floor(F.col("n_tokens") / STEP)))
     after = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    steps = by_length.groupBy("step").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))  # a row for each 1024 lengths
-    zero = F.lit(0).cast("long")
-    steps = steps.select("step", F.coalesce(F.sum("d").over(after), zero).alias("d_after"), F.coalesce(F.sum("t").over(after), zero).alias("t_after"))
+    steps = by_length.groupBy("step").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))  # a row for each STEP lengths
+    zero, all_ = F.lit(0).cast("long"), Window.partitionBy()
+    steps = steps.select("step", F.sum("d").over(all_).alias("all_docs"), F.sum("t").over(all_).alias("all_tokens"), F.coalesce(F.sum("d").over(after), zero).alias("d_after"), F.coalesce(F.sum("t").over(after), zero).alias("t_after"))
     within = Window.partitionBy("step").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    all_docs = steps_total(by_length)
     out = by_length.join(steps, "step").withColumns(
         {
             "docs_longer": F.col("d_after") + F.coalesce(F.sum("n_docs").over(within), zero),
             "tokens_longer": F.col("t_after") + F.coalesce(F.sum("tokens").over(within), zero),
         }
     )
-    return out.crossJoin(F.broadcast(all_docs)).select(  # one row of totals
+    return out.select(
         "n_tokens", "n_docs", "tokens", "docs_longer", "tokens_longer",
         (F.col("all_docs") - F.col("docs_longer")).alias("docs_up_to"),
         (F.col("all_tokens") - F.col("tokens_longer")).alias("tokens_up_to"),
@@ -59,10 +58,6 @@ def histogram(lengths: DataFrame) -> DataFrame:
     )
 
 
-def steps_total(by_length: DataFrame) -> DataFrame:
-    return by_length.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
-
-
 def quantile(hist: DataFrame, q: float) -> DataFrame:
     """The least length that at least a share q of the documents does not exceed: one row."""
     return hist.where(F.col("quantile") >= q).agg(F.min("n_tokens").alias("n_tokens"))
