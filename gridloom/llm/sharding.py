@@ -3,8 +3,8 @@
 Old shards hold some bytes each, new shards may hold some bytes each. The transfers that move the
 fewest bytes are a minimum-cost flow on the bipartite graph of old and new shards, where bytes that
 stay cost nothing. Only the shard sizes reach the driver: one number per shard. Rows travel in
-blocks (hash buckets of an old shard), and a block goes whole to one new shard, so that only files
-of shards with a transfer are rewritten.
+blocks (hash buckets of an old shard, by doc_id and text), and a block goes whole to one new shard, so
+that only files of shards with a transfer are rewritten.
 """
 
 from __future__ import annotations
@@ -71,6 +71,11 @@ def even(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
+def size_of(text: Column) -> Column:
+    """Bytes of the UTF-8 text plus 1; a null text has none."""
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
 def transfers(spark: SparkSession, sizes: dict[int, int], capacity: list[int]) -> DataFrame:
     """Rows (old_shard, new_shard, lo, hi): the bytes lo to hi of an old shard go to new_shard.
 
@@ -94,18 +99,19 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacity: list[int]
     docs: doc_id, text (other columns are ignored, whatever their names). old_shard: int expression
     over docs; null counts as shard 0. capacity: bytes of each new shard, by default even shares.
     Returns doc_id, size, text_crc32, old_shard, block, shard, slot; slots of a shard are gapless
-    from 0. A null text has size 1 and the checksum of no bytes. Repeated rows each get a slot. An
-    empty table gives an empty result. A shard misses its share by half a block at most per
-    transfer, and a block holds at least one document.
+    from 0, in order of old shard, block, doc_id, checksum and size (ties, which are equal rows, in any
+    order). A null text has size 1 and the checksum of no bytes; texts of any length are only measured.
+    Repeated rows each get a slot. An empty table gives an empty result. A shard misses its share by
+    half a block at most per transfer, and a block holds at least one document.
     """
     spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        size_of(F.col("text")).alias("size"),
         crc32_of(F.col("text")).alias("text_crc32"),
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
     )
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(blocks)).cast("int"))
     rows = cut(rows)
     block = cut(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     sizes = {r[0]: r[1] for r in block.groupBy("old_shard").agg(F.sum("bytes")).collect()}
@@ -113,7 +119,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacity: list[int]
     # Large blocks first: the part that stays is cut from them, transfers end within small ones.
     by_size = Window.partitionBy("old_shard").orderBy(F.desc("bytes"), "block")
     placed = block.withColumn("middle", F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) - F.floor(F.col("bytes") / 2) - 1)
-    placed = placed.join(F.broadcast(plan), "old_shard").where("middle >= lo and middle < hi")  # shards * shards rows
+    placed = placed.join(plan.hint("merge"), "old_shard").where("middle >= lo and middle < hi")
     before = Window.partitionBy("new_shard").orderBy("old_shard", "block")
     placed = placed.select("old_shard", "block", F.col("new_shard").alias("shard"), (F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
     inside = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
@@ -126,15 +132,29 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacity: list[int]
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
     """Write the files of the shards that gain or lose rows to ``path``/shard=N; the others keep theirs.
 
-    docs: doc_id and payload columns, one row per doc_id. plan: result of reshard(). Payload columns
-    named like the plan's are left out. Returns one row per rewritten shard: shard, moved_bytes.
+    docs: doc_id, text and payload columns. plan: result of reshard() for docs; the nth of its rows of one
+    doc_id, checksum and size stands for the nth such row of docs, so repeated rows stay as many. Payload
+    columns named like the plan's are left out. A folder that is written replaces what was there, and that
+    of a shard left without rows goes, so a rerun gives the same files. Returns one row per rewritten
+    shard: shard, moved_bytes. Without a move nothing is written.
     """
     moved = plan.where("shard <> old_shard")
-    touched = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard"), "size").groupBy("shard").agg(F.sum("size").alias("moved_bytes"))
-    touched = cut(touched)
-    payload = docs.select(*[c for c in docs.columns if c not in ("shard", "slot", "old_shard", "block", "size", "text_crc32")])
-    rows = plan.join(F.broadcast(touched.select("shard")), "shard").select("doc_id", "shard", "slot").join(payload, "doc_id")
-    rows.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+    touched = cut(moved.select(F.explode(F.array("shard", "old_shard")).alias("shard"), "size").groupBy("shard").agg(F.sum("size").alias("moved_bytes")))
+    key = ["doc_id", "text_crc32", "size"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))).alias("nth")
+    payload = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot", "old_shard", "block", "size", "text_crc32", "nth")], crc32_of(F.col("text")).alias("text_crc32"), size_of(F.col("text")).alias("size"))
+    payload, names = payload.select("*", nth), payload.columns
+    placed = plan.select(*key, "shard", "slot", nth).join(touched.select("shard").hint("merge"), "shard")
+    same = placed["nth"] == payload["nth"]
+    for k in key:
+        same = same & placed[k].eqNullSafe(payload[k])
+    rows = payload.join(placed, same).select(*[payload[c] for c in names if c not in ("text_crc32", "size")], placed["shard"], placed["slot"])
+    rows = cut(rows)
+    rows.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    for r in touched.join(rows.select("shard").distinct(), "shard", "left_anti").collect():  # a row per emptied shard
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={r['shard']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
 
 

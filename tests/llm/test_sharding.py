@@ -73,3 +73,42 @@ def test_rewrite(spark, tmp_path):
     where = {r["doc_id"]: r["shard"] for r in plan.collect()}
     assert {r["doc_id"]: r["shard"] for r in back.collect()} == {d: s for d, s in where.items() if s in moved}
     assert set(moved) == {0, 1, 2} and back.columns.count("text") == 1
+
+
+def test_slots_against_brute_force(spark):
+    """Blocks of each old shard, largest first, cut where the flow says; then slots counted one by one."""
+    docs = C.documents(spark)
+    out = sorted(map(tuple, sharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(8)), 8).select("old_shard", "block", "doc_id", "text_crc32", "size", "shard", "slot").collect()), key=str)
+    blocks = Counter()
+    for r in out:
+        blocks[r[0], r[1]] += r[4]
+    supply = {i: sum(b for (o, _), b in blocks.items() if o == i) for i in {o for o, _ in blocks}}
+    total, old = sum(supply.values()), sorted(supply)
+    flow = sharding.min_cost_flow([supply[i] for i in old], [total // 8 + (j < total % 8) for j in range(8)], [[int(i != j) for j in range(8)] for i in old])
+    home = {}
+    for i, given in zip(old, flow):
+        ends, at = [], 0
+        for j in sorted((j for j in range(8) if given[j]), key=lambda j: (j != i, j)):
+            at += given[j]
+            ends.append((at, j))
+        seen = 0
+        for (_, b), size in sorted(((k, s) for k, s in blocks.items() if k[0] == i), key=lambda x: (-x[1], x[0][1])):
+            seen += size
+            middle = seen - size // 2 - 1
+            home[i, b] = next((j for end, j in ends if middle < end), ends[-1][1])
+    count = Counter()
+    for o, b, d, crc, size, shard, slot in sorted(out, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3], r[4], r[6])):
+        assert (shard, slot) == (home[o, b], count[shard])
+        count[shard] += 1
+
+
+def test_rewrite_again_and_repeated_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(i % 90, "x" * (i % 7), i) for i in range(300)] + [(None, None, 1), (None, None, 2), (5, "same", 3), (5, "same", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int").withColumn("load", F.col("block"))
+    plan = sharding.reshard(docs, F.when(F.col("load") < 200, 0).when(F.col("load") < 275, 1).otherwise(7), 3)
+    for _ in range(2):
+        moved = {r["shard"] for r in sharding.rewrite_affected(docs, plan, path).collect()}
+        back = spark.read.parquet(path)
+        assert sorted(r["load"] for r in back.collect()) == sorted(r[2] for r in rows) and {0, 1, 2, 7} == moved
+        assert sorted({r["shard"] for r in back.collect()}) == [0, 1, 2]
