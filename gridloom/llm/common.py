@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
+import shutil
 import sys
 import tempfile
 import types
@@ -38,10 +39,16 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
