@@ -62,33 +62,38 @@ def norm_match(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Runs of a-z and 0-9 of the match form, in order, repeats kept."""
-    return F.filter(F.split(F.regexp_replace(norm_match(c), "[^a-z0-9 ]+", " "), " "), lambda t: t != "")
+    return match_tokens(norm_match(c))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice similarity of two token arrays as multisets; both empty 1, one empty 0."""
-    distinct = F.array_distinct(a)
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    shared = F.aggregate(distinct, F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(b, t)))
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * shared / total)
+def match_tokens(c: Column) -> Column:
+    """The tokens of a text that is in match form already."""
+    return F.filter(F.split(F.regexp_replace(c, "[^a-z0-9 ]+", " "), " "), lambda t: t != "")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often use reads it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def in_source(item: Column | str, source: Column | str) -> Column:
     """Whether an item's wording stands in a source, both texts raw.
 
     Found whole; or what follows its first ': ' (all but the first letter when there is none) is
-    found and over 8 characters; or nine tenths of its tokens are.
+    found and over 8 characters; or nine tenths of its tokens are. Both texts are normalized once.
     """
-    needle, hay = norm_match(item), norm_match(source)
-    at = F.instr(needle, ": ")
-    rest = F.when(at > 0, F.substring(needle, at + 2, F.length(needle))).otherwise(F.substring(needle, 2, F.length(needle)))
-    ours, theirs = tokens(needle), F.array_distinct(tokens(hay))
-    hits = F.size(F.filter(ours, lambda t: F.array_contains(theirs, t)))
-    return (
-        (needle == "") | F.contains(hay, needle) | ((F.length(rest) > V.AFTER_COLON) & F.contains(hay, rest)) | (F.size(ours) == 0)
-        | (hits >= V.IN_SOURCE * F.size(ours))
-    )
+
+    def found(pair):
+        needle, hay = pair["needle"], pair["hay"]
+        at = F.instr(needle, ": ")
+        rest = F.substr(needle, F.when(at > 0, at + 2).otherwise(F.lit(2)))
+        whole = (needle == "") | F.contains(hay, needle) | ((F.length(rest) > V.AFTER_COLON) & F.contains(hay, rest))
+        return F.when(whole, F.lit(True)).otherwise(let(F.struct(match_tokens(needle).alias("ours"), match_tokens(hay).alias("theirs")), share))
+
+    def share(pair):
+        ours = pair["ours"]
+        return let(F.array_except(ours, pair["theirs"]), lambda absent: F.size(F.filter(ours, lambda t: ~F.array_contains(absent, t))) >= V.IN_SOURCE * F.size(ours))
+
+    return let(F.struct(norm_match(item).alias("needle"), norm_match(source).alias("hay")), found)
 
 
 def word_count(c: Column | str) -> Column:
@@ -137,10 +142,12 @@ def group_matches(a: Column | str, b: Column | str) -> Column:
 
 
 def char_grams(c: Column | str, n: int = V.GRAM, folded: bool = False) -> Column:
-    """Distinct runs of n of the a-z0-9 characters of a text (folded: already lower case and bare)."""
+    """Distinct runs of n of the a-z0-9 characters of a text (folded: already lower case and bare).
+
+    A look-ahead matches at every place, so that all runs are cut in one pass.
+    """
     flat = col(c) if folded else F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - (n - 1), F.lit(1))), lambda i: F.substr(flat, i, F.lit(n)))
-    return F.when(F.length(flat) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(flat, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))), F.expr("cast(array() as array<string>)"))
 
 
 def fingerprint(content: Column | str) -> Column:

@@ -182,20 +182,23 @@ def content_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", T.seed("source", "text").alias("seed"))
 
 
-@query("""
+HEADERS = """
 WITH p AS (SELECT p_partkey, p_size, CASE p_size % 8 WHEN 0 THEN 'Short-Term Outcomes' WHEN 1 THEN 'program_activities:' WHEN 2 THEN 'Resources & ' || lower(p_type) WHEN 3 THEN 'Products' WHEN 4 THEN 'reach ' || lower(p_name) WHEN 5 THEN 'OUTCOMES --' WHEN 6 THEN 'Impact' ELSE p_name END AS header FROM part)
 SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'shortTermOutcomes' WHEN 1 THEN NULL WHEN 3 THEN 'outputs' WHEN 4 THEN 'outputs' WHEN 5 THEN 'generalOutcomes' WHEN 6 THEN 'impact' WHEN 2 THEN 'inputs' END AS loose,
   CASE p_size % 8 WHEN 0 THEN 'shortTermOutcomes' WHEN 3 THEN 'outputs' WHEN 5 THEN 'generalOutcomes' WHEN 6 THEN 'impact' END AS strict
-FROM p WHERE p_size % 8 NOT IN (1, 7)
-""")
+FROM p
+"""
+
+
+@query(HEADERS)
 def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers, made of part attributes, to columns: loose and strict. Leaves out what the SQL does; header_lookup_all has every part."""
-    return looked_up(load(spark, sf_dir, "part").where(~(F.col("p_size") % 8).isin(1, 7)))
+    """Headers, made of all parts' attributes, to columns: loose and strict."""
+    return looked_up(load(spark, sf_dir, "part"))
 
 
-@query()
+@query(HEADERS)
 def header_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of all parts, with underscores and plain names too, to columns: loose and strict."""
+    """The same as header_lookup, under the name of the round in which that left parts out."""
     return looked_up(load(spark, sf_dir, "part"))
 
 
