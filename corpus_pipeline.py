@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame; run() writes each result as Parquet and reads it back as the next stage's docs. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, whatever further columns there are and however they are named.
+
+An empty table stays empty in every stage. Null texts count as empty: quality drops them, so that later
+stages meet them only if run on their own, and then keep them (near_duplicates, secrets), take nothing
+of them (mixing) or pack their end id alone (packing). Null ids, sources and other columns are values
+like any other. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,27 +24,31 @@ from gridloom.llm.secretscan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and so do documents that the quality rules reject."""
+    """Failing lines go, and so do documents that the quality rules reject. Repeated rows are judged alike; a line that
+    fails several rules goes once."""
     return keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the smallest id; of equal rows one, and of texts that
+    tie on the id that of the least hash. Documents without words stay."""
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
+    """Secrets are replaced in the texts, overlapping ones by one mark; every document stays, repeated rows too."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken to their target weights, in blocks of words."""
+    """Sources are taken to their target weights, in blocks of words; a row for each pass over a document. Repeated rows are
+    documents of their own; documents whose hashes tie follow each other by id, size and row."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed along the Hilbert curve into sequences of 2048 ids; pieces keep their ids and their row."""
+    """Documents are packed along the Hilbert curve into sequences of 2048 ids; pieces keep their ids and their row. Equal
+    keys of the curve follow each other by id and row; repeated rows are packed once each."""
     return pack_along_curve(docs, vocabulary("word_bpe_49k.json"), with_ids=True, with_row=True)
 
 
