@@ -261,7 +261,7 @@ def with_partners(lists: DataFrame) -> DataFrame:
     kinds = lists.groupBy("key", "n", "at").agg((F.count("*") > 1).alias("several"))
     x, y = kinds.alias("x"), kinds.alias("y")
     other = (F.col("x.n") != F.col("y.n")) | (F.col("x.at") != F.col("y.at")) | F.col("x.several")
-    able = x.join(y, (F.col("x.key") == F.col("y.key")) & other & may_link("x", "y"), "left_semi").select("key", "n", "at")
+    able = cut(x.join(y, (F.col("x.key") == F.col("y.key")) & other & may_link("x", "y"), "left_semi").select("key", "n", "at"))  # so that the join splits
     return lists.join(able.hint("merge"), ["key", "n", "at"], "left_semi").select(FIELDS)
 
 
@@ -310,7 +310,7 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     The hub is found by partial maxima; a long list meets it in a join of one row a list, which splits.
     """
     lists = lists.join(lists.groupBy("node").agg(F.count("*").alias("stands")), "node")
-    hubs = lists.groupBy("key").agg(F.max(F.struct("stands", "node", "n", "at")).alias("y"))
+    hubs = cut(lists.groupBy("key").agg(F.max(F.struct("stands", "node", "n", "at")).alias("y")))  # so that the join splits
     rows = lists.select("key", F.struct("node", "n", "at").alias("x")).join(hubs.hint("merge"), "key")
     return rows.where((F.col("x.node") != F.col("y.node")) & may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
@@ -353,7 +353,8 @@ def crossing_pairs(lists: DataFrame, components: DataFrame, sets: DataFrame, fre
         known = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = known.groupBy("key", "component").agg(F.count("*").alias("members"))
         main = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        known = cut(known.join(main.select("key", "parts", F.col("m.component").alias("main")).hint("merge"), "key"))
+        main = cut(main.select("key", "parts", F.col("m.component").alias("main")))  # so that the join splits
+        known = cut(known.join(main.hint("merge"), "key"))
         crowded = F.col("parts") > CROWD if depth < DEEPEST else F.lit(False)
         short = known.where(~crowded)
         x, y = short.where("component <> main").alias("x"), short.alias("y")
@@ -392,8 +393,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     found = cut(verified(more, sets))
     parts = connected_components(links if found.isEmpty() else links.union(found))
     parts = classes.select(F.col("a"), "root").join(parts, F.col("a") == F.col("node"), "left").select("a", "root", F.coalesce("component", "a").alias("part"))
-    least = parts.groupBy("part").agg(F.min("root").alias("component_id"))
-    parts = parts.join(least, "part").select(F.col("a").alias("node"), "part", "component_id")
+    least = cut(parts.groupBy("part").agg(F.min("root").alias("component_id")))  # so that the join splits
+    parts = parts.join(least.hint("merge"), "part").select(F.col("a").alias("node"), "part", "component_id")
     return rows.join(parts, (F.col("n") > 0) & (F.col("a") == F.col("node")), "left").select("doc_id", "t", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "part")
 
 
