@@ -71,9 +71,9 @@ def moved(items: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edited(items: DataFrame, edits: DataFrame) -> DataFrame:
-    """Items after edits: PLACE, at, text, reviewed, note; null leaves an attribute as it is. Of several edits of an item the
-    last counts. A reviewed item is verbatim; a blank text takes the item away."""
-    changes = latest(edits, "text", "reviewed", "note")
+    """Items after edits: PLACE, at, text, reviewed, note; null leaves an attribute as it is. Of several edits of an attribute
+    the last counts. A reviewed item is verbatim; a blank text takes the item away."""
+    changes = edits.groupBy(*PLACE).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"new_{c}") for c in ("text", "reviewed", "note")])
     rows = items.join(changes, PLACE, "left")
     rows = rows.withColumns({"text": F.coalesce("new_text", "text"), "verbatim": F.when(F.col("new_reviewed"), F.lit(True)).otherwise(F.col("verbatim")), "sourceNote": F.coalesce("new_note", "sourceNote")})
     return rows.where(not_blank("text")).select(*items.columns)
