@@ -24,6 +24,8 @@ from .tokens import places, slices
 SAMPLE_DOCS, LANGUAGES, SEQUENCE = 1200, 256, 24
 #: Hashed features; words of the lexicon of each language; passes over the training sequences, sequences of a step.
 FEATURES, LEXICON, EPOCHS, STEP = 1 << 15, 3000, 3, 128
+#: Tasks over which each language's texts spread before the sample is picked.
+PARTS = 16
 #: Characters of a word, and features of many, that are looked at in one go.
 PIECE, GATHER = 1 << 16, 1 << 21
 UNKNOWN = "und"
@@ -276,8 +278,9 @@ def fit(labelled: DataFrame, limit: int = SAMPLE_DOCS) -> Field | None:
     if not langs:
         return None
     texts = rows.where(F.col("lang").isin(langs)).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = texts.withColumn("rank", rank).where(F.col("rank") <= limit // len(langs)).select("lang", "h", F.col("doc_id").alias("picked_id"))
+    least = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("rank") <= limit // len(langs)).drop("rank")
+    texts = least(texts.withColumn("part", F.pmod("h", F.lit(PARTS))), "lang", "part")  # a language's texts spread over tasks first
+    picked = least(texts, "lang").select("lang", "h", F.col("doc_id").alias("picked_id"))
     picked = labelled.sparkSession.createDataFrame(picked.collect(), picked.schema)  # ``limit`` ids at most
     found = rows.join(F.broadcast(picked), ["lang", "h"]).where(F.col("doc_id").eqNullSafe(F.col("picked_id"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     return train([(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))])
