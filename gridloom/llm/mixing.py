@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, load, materialize
+from .common import WORD, cut, fresh, load, materialize, shuffle_partitions
 
 #: Least words of a block, and blocks that a mix has at most: beyond, all blocks get longer.
 BLOCK, BLOCKS = 64, 1 << 28
@@ -97,7 +97,8 @@ def taken_blocks(source_rows: list, block: int, seed: int, spark: SparkSession)
     shard, k = np.nonzero(counts)
     drawn = pd.DataFrame({"shard": shard, "k": k.astype(np.int32), "n": counts[shard, k], "first": first[shard, k], "blocks": blocks[k]})
     drawn = spark.createDataFrame(drawn, "shard long, k int, n long, first long, blocks long")  # SHARDS rows of each source at most
-    slot = drawn.repartition("shard", "k").select("k", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
+    tasks = max(shuffle_partitions(spark), int(counts.sum()) // SLOTS)  # a number that is given is kept: the rows are few but hold many slots
+    slot = drawn.repartition(tasks, "shard", "k").select("k", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
 
     @F.pandas_udf("long")
     def place(j: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
