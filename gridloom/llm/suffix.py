@@ -5,20 +5,23 @@ Those anchors are sampled positions: about one in forty, at the same places in e
 
 1. Spark ranks the anchors by the SEED bytes they start with. An anchor of a rank of its own has no
    repeated string around it, and is dropped: most text ends here.
-2. An anchor serves a run of consecutive start positions. Spark sorts the anchors of a rank by the
-   whole bytes of their runs: of equal runs all but the earliest repeat, start for start.
+2. An anchor serves a run of consecutive start positions. Spark sorts the anchors by the whole bytes
+   of their runs: of equal runs all but the earliest repeat, start for start.
 3. The different runs that are left of a rank are doubled: positions are ranked by SEED bytes, then
    by pairs of ranks at offsets SEED, 2 SEED, ... up to LENGTH, each time without the unique ones. Of
    equal ranks at LENGTH all but the earliest position repeat. These rounds run within tasks, each
-   with the runs of many whole ranks at a time, not as Spark sorts. A rank with more than CROWD
-   different runs is dealt out by the bytes before the seed and by those after it; should that leave
-   crowds too, they are not doubled: their positions are grouped by the hashes of two halves.
+   with the runs of many whole ranks at a time, not as Spark sorts.
+4. A rank of more than CROWD different runs is no task's: its runs are ranked anew by the bytes before
+   the seed and by those after it. Ranks that are crowded even then are taken apart into positions,
+   which Spark groups by the pair of ranks of their two halves.
+
+Whatever is dealt by a rank has first been brought down to one row a batch or partition, so a seed, run
+or passage that a third of all rows hold is not one task's.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, worker_cache
+from .common import cut, load, materialize, worker_cache
 
 #: LENGTH must be SEED times a power of two.
 LENGTH, SEED = 100, 25
-#: Bytes handled at once; longer texts are cut into overlapping segments. Runs and bytes of a batch
-#: that is doubled within a task.
+#: Bytes handled at once; longer texts are cut into overlapping segments. Most runs of a rank, and bytes of
+#: a batch, that are doubled within a task.
 SLICE, CROWD, BATCH = 1 << 21, 4096, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: q, q - lo and q - hi of an anchor's run share a long.
@@ -157,9 +160,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         order = np.lexsort((run, doc, u, h))
         h, u, doc, run = h[order], u[order], doc[order], run[order]
         known = np.zeros(len(h), np.int32)
-        group = np.ones(len(h), bool)
-        group[1:] = (h[1:] != h[:-1]) | (u[1:] != u[:-1])
-        head = np.maximum.accumulate(np.where(group, np.arange(len(h)), 0))
+        head = heads(h, u)
         known[(doc != doc[head]) | (run != run[head])] = 1
         return pa.RecordBatch.from_arrays([pa.array(known), pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(doc), pa.array(run)], ["kind", "h", "u", "doc", "run"])
 
@@ -189,70 +190,121 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "z").mapInArrow(scan, "kind int, h long, u long, doc long, run long")
 
 
-def rerank(rows: DataFrame) -> DataFrame:
-    """kind, h, doc, run: runs that repeat an earlier one (kind 1), and the earliest of each of the
-    different runs of a rank that has several (kind 0). Anchors of unique rank are gone.
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, where the group of equal keys begins that each belongs to."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def beside(h: np.ndarray) -> np.ndarray:
+    """Which of sorted values have an equal one next to them."""
+    same = h[1:] == h[:-1]
+    return np.append(same, False) | np.append(False, same) if len(h) else np.zeros(0, bool)
+
+
+RANKED = "kind int, h long, doc long, run long"
+#: Kinds of ranked rows: a lead whose rank is not known to have other runs, a run that repeats an earlier one,
+#: a lead whose rank has others, and a rank that has several leads in some partition.
+LEAD, REPEAT, OPEN, MET = range(4)
+
 
-    Rows stream by in order of rank, bytes and place; the last run is held back until another comes.
+def ranked_rows(kind: int, h, doc, run) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), *map(pa.array, (h, doc, run))], ["kind", "h", "doc", "run"])
+
+
+def leads(rows: DataFrame) -> DataFrame:
+    """The earliest of all equal runs as LEAD or OPEN, the others as REPEAT, and a row MET for each rank with OPEN ones.
+
+    Rows are dealt by rank and bytes and stream by in order of both and place; the last lead is held
+    back until another comes. Leads of a rank that lie in one partition need not meet any more.
     """
 
     def stream(batches):
-        held = None  # the earliest row of the last run, and whether its rank has others before
+        held, company = None, False  # the last lead, and whether its rank has others here
         for batch in batches:
             kind, h, u, doc, run = (batch.column(i).to_numpy() for i in range(5))
-            done = kind == 1
-            fresh = [x[~done] for x in (h, u, doc, run)]
-            repeats = [x[done] for x in (h, doc, run)]
-            if len(fresh[0]):
-                if held is not None:
-                    fresh = [np.append(a, b) for a, b in zip(held[0], fresh)]
-                h, u, doc, run = fresh
-                group = np.ones(len(h), bool)
-                group[1:] = (h[1:] != h[:-1]) | (u[1:] != u[:-1])
-                head = np.maximum.accumulate(np.where(group, np.arange(len(h)), 0))
-                later = (doc != doc[head]) | (run != run[head])
-                repeats = [np.append(a, b[later]) for a, b in zip(repeats, (h, doc, run))]
-                lead = np.flatnonzero(group)
-                same = h[lead][1:] == h[lead][:-1]
-                several = np.zeros(len(lead), bool)
-                several[1:] |= same
-                several[:-1] |= same
-                if held is not None:
-                    several[0] |= held[1]
-                held = [x[lead[-1:]] for x in (h, u, doc, run)], bool(several[-1])
-                open_ = lead[:-1][several[:-1]]
-                yield table(0, h[open_], doc[open_], run[open_])
-            yield table(1, *repeats)
-        if held is not None and held[1]:
-            yield table(0, held[0][0], held[0][2], held[0][3])
-
-    def table(kind, *columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "h", "doc", "run"])
-
-    where = F.when(F.col("kind") == 1, F.xxhash64("doc", "run")).otherwise(F.col("h"))  # known repeats need not meet
-    ordered = rows.repartition(where).sortWithinPartitions("h", "u", "doc", "run")
-    return ordered.mapInArrow(stream, "kind int, h long, doc long, run long")
+            done = kind == REPEAT
+            yield ranked_rows(REPEAT, h[done], doc[done], run[done])
+            h, u, doc, run = (x[~done] for x in (h, u, doc, run))
+            if not len(h):
+                continue
+            if held is not None:
+                h, u, doc, run = (np.append(a, b) for a, b in zip(held, (h, u, doc, run)))
+            head = heads(h, u)
+            later = (doc != doc[head]) | (run != run[head])
+            yield ranked_rows(REPEAT, h[later], doc[later], run[later])
+            lead = np.unique(head)
+            several = beside(h[lead])
+            several[0] |= company
+            held, company = [x[lead[-1:]] for x in (h, u, doc, run)], bool(several[-1])
+            lead, several = lead[:-1], several[:-1]
+            for kind, at in ((OPEN, lead[several]), (LEAD, lead[~several])):
+                yield ranked_rows(kind, h[at], doc[at], run[at])
+            met = np.unique(h[lead[several]])
+            yield ranked_rows(MET, met, np.zeros_like(met), np.zeros_like(met))
+        if held is not None:
+            yield ranked_rows(OPEN if company else LEAD, held[0], held[2], held[3])
+
+    where = F.when(F.col("kind") == REPEAT, F.xxhash64("doc", "run")).otherwise(F.xxhash64("h", "u"))  # known repeats need not meet
+    return rows.repartition(where).sortWithinPartitions("h", "u", "doc", "run").mapInArrow(stream, RANKED)
+
+
+def rerank(rows: DataFrame) -> DataFrame:
+    """kind, h, doc, run: runs that repeat an earlier one (REPEAT), and the earliest of each of the
+    different runs of a rank that has several (OPEN). Anchors of unique rank are gone.
+
+    At most one lead or MET row of a rank comes from a batch of a partition, so a common seed is not one task's.
+    """
+
+    def stream(batches):
+        held, company = None, False  # the last row that waits for its rank's others
+        for batch in batches:
+            kind, h, doc, run = (batch.column(i).to_numpy() for i in range(4))
+            for known in (REPEAT, OPEN):
+                at = kind == known
+                yield ranked_rows(known, h[at], doc[at], run[at])
+            wait = (kind == LEAD) | (kind == MET)
+            rows = [x[wait] for x in (kind, h, doc, run)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.append(a, b) for a, b in zip(held, rows)]
+            several = beside(rows[1])
+            several[0] |= company
+            held, company = [x[-1:] for x in rows], bool(several[-1])
+            at = (several & (rows[0] == LEAD))[:-1]
+            yield ranked_rows(OPEN, *(x[:-1][at] for x in rows[1:]))
+        if held is not None and company and held[0][0] == LEAD:
+            yield ranked_rows(OPEN, *held[1:])
+
+    where = F.when(F.col("kind").isin(LEAD, MET), F.col("h")).otherwise(F.xxhash64("doc", "run"))
+    return leads(rows).repartition(where).sortWithinPartitions("h").mapInArrow(stream, RANKED)
 
 
 def run_bytes(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
-    """h, doc, run, bytes: the open runs with what they cover."""
-    by_doc = open_runs.groupBy("doc").agg(F.collect_list(F.struct("h", "run")).alias("runs"))  # as many as a text has room for
+    """finer, h, doc, run, bytes: the open runs with what they cover; those of crowded ranks under their finer ranks."""
+    crowds = cut(open_runs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))  # so that the join splits
+    flagged = open_runs.join(crowds.hint("merge"), "h", "left").select("doc", F.struct("h", "run", F.col("n").isNotNull().alias("crowded")).alias("r"))
+    by_doc = flagged.groupBy("doc").agg(F.collect_list("r").alias("runs"))  # as many as a text has room for
 
     def read(batches):
         import zstandard
 
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = [], [], [], []
+            out = [], [], [], [], []
             for doc, z, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = unsqueeze.decompress(z.as_py())
                 for r in runs:
                     q, left, right = place(r["run"])
-                    for column, v in zip(out, (r["h"], doc, r["run"], data[q - left : q - right + LENGTH])):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["h", "doc", "run", "bytes"])
+                    piece = data[q - left : q - right + LENGTH]
+                    for h in halves(r["h"], r["run"], piece) if r["crowded"] else (r["h"],):
+                        for column, v in zip(out, (r["crowded"], h, doc, r["run"], piece)):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), *(pa.array(x, pa.int64()) for x in out[1:4]), pa.array(out[4], pa.binary())], ["finer", "h", "doc", "run", "bytes"])
 
-    return docs.select("doc", "z").join(by_doc, "doc").select("doc", "z", "runs").mapInArrow(read, "h long, doc long, run long, bytes binary")
+    return docs.select("doc", "z").join(by_doc, "doc").select("doc", "z", "runs").mapInArrow(read, "finer boolean, h long, doc long, run long, bytes binary")
 
 
 def place(run):
@@ -324,84 +376,81 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def double_once(runs: DataFrame, again: bool) -> DataFrame:
-    """kind, doc, lo, hi, a, b, bytes of runs (h, doc, run, bytes).
+SPANS = "doc long, lo long, hi long"
 
-    Kind 0: start positions lo to hi repeat an earlier one. The runs of a rank with more than CROWD
-    are given back instead: again, as runs of finer ranks (kind 1: a the rank, b the run); else by
-    position (kind 2: lo, with the ranks of its two halves as a and b).
-    """
 
-    def out(kind, doc, lo, hi, a=None, b=None, pieces=None):
-        none = np.zeros(len(doc), np.int64)
-        columns = [np.full(len(doc), kind, np.int32), *(none if x is None else np.asarray(x).view(np.int64) for x in (doc, lo, hi, a, b))]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(doc), pa.binary()) if pieces is None else pa.array(pieces, pa.binary())], ["kind", "doc", "lo", "hi", "a", "b", "bytes"])
-
-    def crowded(h, doc, run, pieces):
-        if again:
-            finer = [(d, k, r, p) for d, r, p in zip(doc, run, pieces) for k in halves(h, r, p)]
-            docs, keys, rows, parts = zip(*finer)
-            none = np.zeros(len(finer), np.int64)
-            return out(1, np.array(docs, np.int64), none, none, np.array(keys, np.int64), np.array(rows, np.int64), parts)
-        doc, run, sizes = np.array(doc), np.array(run), np.array([len(p) for p in pieces])
-        first, starts = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
-        row = np.repeat(np.arange(len(pieces)), starts)
-        pos = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + first[row]
-        roll = Rolling(np.frombuffer(b"".join(pieces), np.uint8))
-        q, left, _ = place(run)
-        where = (q - left)[row] + pos - first[row]
-        return out(2, doc[row], where, where, roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2))
+def double_few(runs: DataFrame) -> DataFrame:
+    """doc, lo, hi: start positions that repeat an earlier one, of runs whose ranks have at most CROWD."""
 
     def stream(batches):
         held: list[list] = [[], [], [], []]
-        crowd = None
         for batch in batches:
             for i in range(4):
                 held[i] += batch.column(i).to_pylist()
-            while held[0]:
-                h = held[0]
-                if crowd is not None:
-                    n = next((i for i, x in enumerate(h) if x != crowd), len(h))
-                    if n:
-                        yield crowded(crowd, *(x[:n] for x in held[1:]))
-                        held = [x[n:] for x in held]
-                    if held[0]:
-                        crowd = None
-                    continue
-                last = len(h)
-                while last and h[last - 1] == h[-1]:
-                    last -= 1  # the last rank may go on
-                crowds = len(h) - last > CROWD
-                if last and (crowds or sum(map(len, islice(held[3], last))) >= BATCH):
-                    yield out(0, *double_within(np.array(held[1][:last]), np.array(held[2][:last]), held[3][:last]))
-                    held = [x[last:] for x in held]
-                if not crowds:
-                    break
-                crowd = held[0][0]
+            last = len(held[0])
+            while last and held[0][last - 1] == held[0][-1]:
+                last -= 1  # the last rank may go on
+            if last and sum(map(len, held[3])) >= BATCH:
+                yield spans(*double_within(np.array(held[1][:last]), np.array(held[2][:last]), held[3][:last]))
+                held = [x[last:] for x in held]
         if held[0]:
-            yield out(0, *double_within(np.array(held[1]), np.array(held[2]), held[3]))
+            yield spans(*double_within(np.array(held[1]), np.array(held[2]), held[3]))
+
+    def spans(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc", "lo", "hi"])
+
+    ordered = runs.select("h", "doc", "run", "bytes").repartition("h").sortWithinPartitions("h", "doc", "run")
+    return ordered.mapInArrow(stream, SPANS)
 
-    ordered = runs.repartition("h").sortWithinPartitions("h", "doc", "run")
-    return materialize(ordered.mapInArrow(stream, "kind int, doc long, lo long, hi long, a long, b long, bytes binary"))
+
+def double_crowds(runs: DataFrame) -> DataFrame:
+    """doc, lo, hi: start positions of crowded ranks' runs that repeat an earlier one, each by itself.
+
+    Equal strings of a batch are brought down to the earliest; those of all batches meet by the ranks of both halves.
+    """
+
+    def stream(batches):
+        for batch in batches:
+            doc, run, pieces = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            sizes = np.array([len(p) for p in pieces], np.int64)
+            first, starts = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+            row = np.repeat(np.arange(len(pieces)), starts)
+            pos = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + first[row]
+            roll = Rolling(np.frombuffer(b"".join(pieces), np.uint8))
+            q, left, _ = place(run)
+            d, w = doc[row], (q - left)[row] + pos - first[row]
+            a, b = (x.view(np.int64) for x in (roll.of(pos, pos + LENGTH // 2), roll.of(pos + LENGTH // 2, pos + LENGTH, salt=2)))
+            order = np.lexsort((w, d, b, a))
+            a, b, d, w = (x[order] for x in (a, b, d, w))
+            head = heads(a, b)
+            later = (d != d[head]) | (w != w[head])
+            lead = np.unique(head)
+            for known, at in ((True, later), (False, lead)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[at]), known)), *(pa.array(x[at]) for x in (a, b, d, w))], ["known", "a", "b", "doc", "lo"])
+
+    found = materialize(runs.select("doc", "run", "bytes").mapInArrow(stream, "known boolean, a long, b long, doc long, lo long"))
+    many = found.where("not known")
+    earliest = cut(many.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("a", "b", "e"))  # so that the join splits
+    later = many.join(earliest.hint("merge"), ["a", "b"]).where(F.struct("doc", "lo") != F.col("e"))
+    return found.where("known").select("doc", "lo", F.col("lo").alias("hi")).unionByName(later.select("doc", "lo", F.col("lo").alias("hi")))
 
 
 def doubled(runs: DataFrame) -> DataFrame:
     """doc, lo, hi: start positions in the open runs that repeat an earlier one."""
-    found = double_once(runs, again=True)
-    finer = double_once(found.where("kind = 1").select(F.col("a").alias("h"), "doc", F.col("b").alias("run"), "bytes"), again=False)
-    many = finer.where("kind = 2")
-    earliest = many.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("a", "b", "e")
-    later = many.join(earliest, ["a", "b"]).where(F.struct("doc", "lo") != F.col("e"))
-    within = found.where("kind = 0").unionByName(finer.where("kind = 0"))
-    return within.select("doc", "lo", "hi").unionByName(later.select("doc", "lo", "hi"))
+    runs = materialize(runs)
+    finer = runs.where("finer")
+    counts = cut(finer.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # unique ones are done
+    finer = finer.join(counts.hint("merge"), "h")
+    few = runs.where("not finer").unionByName(finer.where(F.col("n") <= CROWD).drop("n"))
+    return double_few(few).unionByName(double_crowds(finer.where(F.col("n") > CROWD)))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc, lo, hi: the LENGTH-byte strings starting at lo to hi of a numbered document start earlier too."""
     ranked = materialize(rerank(anchor_rows(docs)))
     q, left, right = place_sql()
-    whole = ranked.where("kind = 1").select("doc", (q - left).alias("lo"), (q - right).alias("hi"))
-    return whole.unionByName(doubled(run_bytes(docs, ranked.where("kind = 0"))))
+    whole = ranked.where(F.col("kind") == REPEAT).select("doc", (q - left).alias("lo"), (q - right).alias("hi"))
+    return whole.unionByName(doubled(run_bytes(docs, ranked.where(F.col("kind") == OPEN))))
 
 
 def place_sql():

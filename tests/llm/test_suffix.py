@@ -98,3 +98,25 @@ def test_null_and_repeated_ids(spark, monkeypatch):
         monkeypatch.setattr(suffix, "CROWD", crowd)
         out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out), key=repr) == brute_pairs(rows)
+
+
+def test_common_seeds_passages_and_runs(spark, monkeypatch):
+    """Passages shorter and longer than 100 bytes that most texts hold, in surroundings of their own."""
+    draw = random.Random(10)
+    short, long = ("".join(draw.choice("abcdefghij ") for _ in range(n)) for n in (60, 130))
+    word = lambda: "".join(draw.choice("klmnopqrst") for _ in range(draw.randint(5, 90)))
+    rows = [(i, word() + short + word() + (long if i % 3 else "") + word() + word()) for i in range(400)]
+    rows += [(400 + i, rows[i % 7][1]) for i in range(60)]
+    for crowd in (suffix.CROWD, 40, 1):
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        check(spark, rows)
+
+
+def test_a_common_rank_sends_one_row_a_batch(spark):
+    """However many different runs a seed has, few rows wait for their rank's others, and all of its runs are open."""
+    n = 5000
+    rows = spark.createDataFrame([(0, 7, u, u, u << 14) for u in range(n)] + [(0, 8, 1, n, 0)], "kind int, h long, u long, doc long, run long").repartition(16)
+    kinds = [r["kind"] for r in suffix.leads(rows).collect()]
+    assert kinds.count(suffix.MET) + kinds.count(suffix.LEAD) < 100
+    found = suffix.rerank(rows).collect()
+    assert sorted(r["doc"] for r in found if r["kind"] == suffix.OPEN) == list(range(n)) and len(found) == n
