@@ -161,7 +161,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         h, u, doc, run = h[order], u[order], doc[order], run[order]
         known = np.zeros(len(h), np.int32)
         head = heads(h, u)
-        known[(doc != doc[head]) | (run != run[head])] = 1
+        known[(doc != doc[head]) | (run != run[head])] = REPEAT
+        h, u = (np.where(known == REPEAT, np.uint64(0), x) for x in (h, u))  # not asked for any more, and zeros take no room
         return pa.RecordBatch.from_arrays([pa.array(known), pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(doc), pa.array(run)], ["kind", "h", "u", "doc", "run"])
 
     def scan(batches):
@@ -225,7 +226,7 @@ def leads(rows: DataFrame) -> DataFrame:
         for batch in batches:
             kind, h, u, doc, run = (batch.column(i).to_numpy() for i in range(5))
             done = kind == REPEAT
-            yield ranked_rows(REPEAT, h[done], doc[done], run[done])
+            yield ranked_rows(REPEAT, 0 * h[done], doc[done], run[done])
             h, u, doc, run = (x[~done] for x in (h, u, doc, run))
             if not len(h):
                 continue
@@ -233,7 +234,7 @@ def leads(rows: DataFrame) -> DataFrame:
                 h, u, doc, run = (np.append(a, b) for a, b in zip(held, (h, u, doc, run)))
             head = heads(h, u)
             later = (doc != doc[head]) | (run != run[head])
-            yield ranked_rows(REPEAT, h[later], doc[later], run[later])
+            yield ranked_rows(REPEAT, 0 * h[later], doc[later], run[later])
             lead = np.unique(head)
             several = beside(h[lead])
             several[0] |= company
@@ -251,7 +252,7 @@ def leads(rows: DataFrame) -> DataFrame:
 
 
 def rerank(rows: DataFrame) -> DataFrame:
-    """kind, h, doc, run: runs that repeat an earlier one (REPEAT), and the earliest of each of the
+    """kind, h, doc, run: runs that repeat an earlier one (REPEAT, h being 0), and the earliest of each of the
     different runs of a rank that has several (OPEN). Anchors of unique rank are gone.
 
     At most one lead or MET row of a rank comes from a batch of a partition, so a common seed is not one task's.
