@@ -35,19 +35,20 @@ def label_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A profile of 31 places for each user: how often in a day of January, in thirds."""
-    days = load(spark, sf_dir, "events").where("ts >= '2024-01-01' and ts < '2024-02-01'").groupBy((F.col("user_id") % 40).alias("doc_id"), F.dayofmonth("ts").alias("d")).agg((F.count("*") % 7).alias("n"))
-    places = spark.range(40).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(30))).alias("x"))
-    ink = F.when((F.col("x") % 6) < 2, 0.0).otherwise(F.coalesce("n", F.lit(0)).cast("double"))
-    return places.join(days.withColumn("x", F.col("d") - 1), ["doc_id", "x"], "left").select("doc_id", "x", ink.alias("ink"))
+    """A profile for each supplier and line number: the quantity that left in each week up to the last."""
+    lines = load(spark, sf_dir, "lineitem").select(F.concat_ws(" ", "l_suppkey", "l_linenumber").alias("doc_id"), F.floor(F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")) / 7).alias("x"), F.col("l_quantity").cast("double").alias("q"))
+    weeks = lines.groupBy("doc_id", "x").agg(F.sum("q").alias("ink"))
+    places = weeks.groupBy("doc_id").agg(F.max("x").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("x"))
+    return places.join(weeks, ["doc_id", "x"], "left").fillna(0.0, ["ink"])
 
 
 PROFILE = """
- d AS (SELECT user_id % 40 AS doc_id, day(ts) - 1 AS x, count(*) % 7 AS n FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY ALL),
- p AS (SELECT a.doc_id, b.x, CASE WHEN b.x % 6 < 2 THEN 0.0 ELSE CAST(coalesce(n, 0) AS DOUBLE) END AS ink FROM range(40) a(doc_id) CROSS JOIN range(31) b(x) LEFT JOIN d ON d.doc_id = a.doc_id AND d.x = b.x),
+ d AS (SELECT l_suppkey || ' ' || l_linenumber AS doc_id, CAST(floor(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS x, sum(CAST(l_quantity AS DOUBLE)) AS q FROM lineitem GROUP BY ALL),
+ w AS (SELECT doc_id, max(x) + 1 AS w FROM d GROUP BY doc_id), u AS (SELECT doc_id, w, unnest(range(w)) AS x FROM w),
+ p AS (SELECT doc_id, w, x, coalesce(q, 0) AS ink FROM u LEFT JOIN d USING (doc_id, x)),
  l AS (SELECT doc_id, list_sort(list(ink)) AS v FROM p GROUP BY doc_id),
  m AS (SELECT doc_id, CASE WHEN v[CAST(least(len(v) - 1, floor(len(v) * 0.95)) AS INTEGER) + 1] > 0 THEN v[CAST(least(len(v) - 1, floor(len(v) * 0.95)) AS INTEGER) + 1] WHEN v[len(v)] > 0 THEN v[len(v)] ELSE 1 END AS level FROM l),
- i AS (SELECT doc_id, x, least(1.0, ink / level) AS ink FROM p JOIN m USING (doc_id))
+ i AS (SELECT doc_id, w, x, least(1.0, ink / level) AS ink FROM p JOIN m USING (doc_id))
 """
 
 
@@ -57,8 +58,9 @@ def p95_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {PROFILE}, g AS (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS run FROM i WHERE ink > 0.08),
-r AS (SELECT doc_id, run, min(x) AS lo, max(x) + 1 AS hi FROM g GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM r)
+WITH {PROFILE}, g AS (SELECT doc_id, w, x, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) - 1 AS empty FROM i WHERE ink > 0.08 AND w >= 10),
+s AS (SELECT *, sum(CASE WHEN empty IS NULL OR (empty > 0 AND empty >= greatest(1, floor(w * 0.012))) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x) AS run FROM g),
+r AS (SELECT doc_id, run, min(x) AS lo, max(x) + 1 AS hi FROM s GROUP BY doc_id, run, w HAVING max(x) + 1 - min(x) >= greatest(1, floor(w * 0.04))), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM r)
 SELECT doc_id, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM n WHERE n BETWEEN 3 AND 9
 """)
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
