@@ -90,8 +90,11 @@ def describe(docs: DataFrame, seed: int) -> DataFrame:
         ahead, held = [], 0
 
         def counts():
-            values, n = np.unique(np.concatenate(ahead), return_counts=True)
-            values, n = values[n > 1], n[n > 1]
+            every = np.concatenate(ahead)
+            ahead.clear()
+            every.sort()
+            values, n = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+            n += 1
             none = pa.nulls(len(n), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), none, none, pa.array(n, pa.int64()), pa.array(values.view(np.int64)), none], NAMES)
 
@@ -107,7 +110,7 @@ def describe(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], NAMES)
                 if held > COUNTED:
                     yield counts()
-                    ahead, held = [], 0
+                    held = 0
         if ahead:
             yield counts()
 
@@ -180,27 +183,28 @@ def list_entries(docs: DataFrame, frequent, light: int, seed: int) -> DataFrame:
     def run(batches):
         often = frequent.value
         for batch in batches:
-            keys, nodes, sizes, places = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_hashes(text)
-                n = len(s)
-                if n < 2:
-                    continue  # links to equal sets only
-                order, node, p = in_order(s, often), digest(s, seed)[0], n - at_least(n)
-                if n <= light:
-                    pairs = np.array(list(combinations(range(min(n, p + 2)), 2)))
-                    k = joined(order[pairs[:, 0]], order[pairs[:, 1]])
-                    keys.append(k)
-                    places.append((pairs[:, 1] - 1) * PLACE + 2)
-                    nodes.append(np.full(len(k), node, np.int64))
-                    sizes.append(np.full(len(k), n, np.int32))
-                if DEN * n > NUM * light:
-                    keys.append(order[: p + 1])
-                    places.append(np.arange(p + 1) * PLACE + 1)
-                    nodes.append(np.full(p + 1, node, np.int64))
-                    sizes.append(np.full(p + 1, n, np.int32))
-            if keys:
-                yield entries(keys, nodes, sizes, places)
+            for at in range(0, batch.num_rows, 256):
+                keys, nodes, sizes, places = [], [], [], []
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    s = shingle_hashes(text)
+                    n = len(s)
+                    if n < 2:
+                        continue  # links to equal sets only
+                    order, node, p = in_order(s, often), digest(s, seed)[0], n - at_least(n)
+                    if n <= light:
+                        pairs = np.array(list(combinations(range(min(n, p + 2)), 2)))
+                        k = joined(order[pairs[:, 0]], order[pairs[:, 1]])
+                        keys.append(k)
+                        places.append((pairs[:, 1] - 1) * PLACE + 2)
+                        nodes.append(np.full(len(k), node, np.int64))
+                        sizes.append(np.full(len(k), n, np.int32))
+                    if DEN * n > NUM * light:
+                        keys.append(order[: p + 1])
+                        places.append(np.arange(p + 1) * PLACE + 1)
+                        nodes.append(np.full(p + 1, node, np.int64))
+                        sizes.append(np.full(p + 1, n, np.int32))
+                if keys:
+                    yield entries(keys, nodes, sizes, places)
 
     return docs.select("text").mapInArrow(run, ENTRY)
 
