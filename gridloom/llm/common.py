@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import sys
@@ -26,7 +27,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
+#: Bytes of an Arrow batch, unless the session sets a size of its own: a worker holds as much of its input, or one longer text.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers are handed at once by bytes; rows alone bound nothing where texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,3 +107,9 @@ def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, so that later tasks find it filled."""
     module = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker"))
     return module.__dict__.setdefault(name, {})
+
+
+def drop_worker_caches() -> None:
+    """Forget what earlier stages have left in this worker: for stages that need the memory and none of it."""
+    if sys.modules.pop("_gridloom_worker", None) is not None:
+        gc.collect()

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load, materialize
+from .common import cut, drop_worker_caches, load, materialize
 from .tokens import places
 
 #: What parts terms, and the letters that are lower-cased: bytes of the UTF-8 text.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Words and documents of one chunk of the index.
-CHUNK_WORDS, CHUNK_DOCS = 1 << 20, 1 << 12
+CHUNK_WORDS, CHUNK_DOCS = 1 << 19, 1 << 12
 #: Weight times impact that a posting has at least in each tier; the weight here is that of the term within the chunk.
 TIERS = (1e9, 5e8, 0)
 #: Bytes of item texts that are searched together.
@@ -81,6 +81,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """
 
     def build(batches):
+        drop_worker_caches()
         index: dict[bytes, int] = {}
         doc_ids, codes, words = [], [], 0
         learn = lambda fresh: index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
