@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, load, materialize
+from .common import cut, drop_worker_caches, fresh, load, materialize
 from .components import connected_components
 
 
@@ -87,6 +87,7 @@ def describe(docs: DataFrame, seed: int) -> DataFrame:
     Of each shingle repeated among documents read together (kind 1): a, the shingle, and n, how often."""
 
     def run(batches):
+        drop_worker_caches()
         ahead, held = [], 0
 
         def counts():

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, words_of
+from .common import drop_worker_caches, load, words_of
 
 #: A document is rejected when its kept lines hold less than this share of its word characters.
 LEAST_KEPT = 0.5
@@ -137,6 +137,7 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     kinds, names = docs.schema, docs.columns
 
     def run(batches):
+        drop_worker_caches()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
