@@ -15,7 +15,7 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import load, materialize
+from gridloom.llm.common import load, materialize, small_batches
 from gridloom.llm.jaccard import keep_one
 from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.packing import pack_along_curve
@@ -26,29 +26,34 @@ from gridloom.llm.secretscan import redact
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and so do documents that the quality rules reject. Repeated rows are judged alike; a line that
     fails several rules goes once."""
+    small_batches(spark)
     return keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest id; of equal rows one, and of texts that
     tie on the id that of the least hash. Documents without words stay."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, overlapping ones by one mark; every document stays, repeated rows too."""
+    small_batches(spark)
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their target weights, in blocks of words; a row for each pass over a document. Repeated rows are
     documents of their own; documents whose hashes tie follow each other by id, size and row."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are packed along the Hilbert curve into sequences of 2048 ids; pieces keep their ids and their row. Equal
     keys of the curve follow each other by id and row; repeated rows are packed once each."""
+    small_batches(spark)
     return pack_along_curve(docs, vocabulary("word_bpe_49k.json"), with_ids=True, with_row=True)
 
 
