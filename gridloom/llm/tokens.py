@@ -11,7 +11,7 @@ import numpy as np
 from .common import words_of, worker_cache
 
 #: Distinct words, and characters of them, that a worker remembers before it forgets the later half.
-CACHE_WORDS, CACHE_CHARS = 1_200_000, 24_000_000
+CACHE_WORDS, CACHE_CHARS = 500_000, 10_000_000
 #: A stop or comma after an ASCII letter and before white space: a token of its own, here a word of its own. Other letters
 #: may end in a combining mark once in lower case, which joins the stop.
 _STOP, _COMMA = (re.compile(rf"{c}(?<=[A-Za-z].)(?=[\x20\x09-\x0D])") for c in (r"\.", ","))
