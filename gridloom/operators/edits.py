@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import vocab as V
 from ..functions.headers import synonym_domain
@@ -13,61 +18,92 @@ from ..functions.text import not_blank, strip
 PLACE = ["doc_id", "domain", "group_ord", "item_ord"]
 
 
-def latest(edits: DataFrame, *what: str) -> DataFrame:
-    """Of the edits of one item the last one. edits: PLACE, at, and ``what``."""
-    return edits.groupBy(*PLACE).agg(*[F.max_by(c, "at").alias(f"new_{c}") for c in what])
+EVENT = "at string, action string, fromDomain string, toDomain string, sourceSection string, sourceHeader string, text string, ownGroup string, item_ord int, note string"
 
 
-def moved(items: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, events) after moves: PLACE, to_domain, note, at. Of several moves of an item the last counts.
+def replay(groups: dict[str, list[dict]], move: dict) -> dict | None:
+    """Apply one move to a document's groups (name, strip, items, by domain) and return its event; None if no item is there.
 
-    A moved item goes to the end of the General group of its new domain, or, when it goes back to the unmapped,
-    of the group named like its header; groups are made where they are missing. An item whose text
-    (case and ends aside) stands in that group already, or moves there earlier, is not added again. Moves of
-    items that do not exist have no effect and no event. items: the long form with all attributes.
+    A moved item goes to the end of the General group of its new domain or, back among the unmapped, of the group named like
+    its header; the group is made where it is missing. An item whose wording stands there already is not added again.
+    Groups that a move leaves empty go, and so later moves count places without them.
     """
-    items = items.withColumn("domain_ord", F.array_position(F.array(*map(F.lit, V.GROUPED)), F.col("domain")) - 1)
-    hit = items.join(latest(moves, "to_domain", "note", "at"), PLACE)
-    stays = items.join(hit.select(PLACE), PLACE, "left_anti")
-    name = F.when(not_blank("group_name") & (F.col("group_name") != "General"), F.col("group_name"))
-    header = F.coalesce(F.when(not_blank("sourceHeader"), F.col("sourceHeader")), name)
-    section = F.when(not_blank("sourceHeader"), F.col("sourceSection")).otherwise(F.coalesce(F.nullif("sourceSection", F.lit("")), name))
-    to_unmapped = F.col("new_to_domain") == V.UNMAPPED
-    group = F.when(to_unmapped, F.coalesce(F.nullif(strip(header), F.lit("")), F.nullif("group_name", F.lit("")), F.lit("Unmapped"))).otherwise("General")
-    note = F.nullif(strip("new_note"), F.lit(""))
-    gone = hit.withColumns(
-        {
-            "from_domain": F.col("domain"), "from_ord": F.struct("domain_ord", "group_ord", "item_ord"), "to_group": group, "own_group": F.col("group_name"), "sourceHeader": header,
-            "sourceSection": section, "mappedBy": F.lit("user"), "mappingConfidence": F.lit("user"), "mappingNote": F.coalesce(note, F.col("mappingNote")),
-            "same": F.lower(strip("text")),
-        }
-    )
-    target = ["doc_id", "new_to_domain", "to_group"]
-    there = items.join(hit.select(PLACE), PLACE, "left_anti").select("doc_id", F.col("domain").alias("new_to_domain"), F.col("group_name").alias("to_group"), F.lower(strip("text")).alias("same"), "group_ord", "item_ord")
-    fresh = gone.join(there.select(*target, "same").distinct(), [*target, "same"], "left_anti")
-    fresh = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(*target, "same").orderBy("new_at", "from_ord"))).where("rank = 1")
-    groups = there.groupBy(*target).agg(F.min("group_ord").alias("at_group"), F.max("item_ord").alias("last_item"))
-    lasts = there.groupBy("doc_id", "new_to_domain").agg(F.max("group_ord").alias("last_group"))
-    fresh = fresh.join(groups, target, "left").join(lasts, ["doc_id", "new_to_domain"], "left")
-    turn = F.row_number().over(Window.partitionBy(*target).orderBy("new_at", "from_ord"))
-    made = F.dense_rank().over(Window.partitionBy("doc_id", "new_to_domain", F.col("at_group").isNull()).orderBy("to_group"))
-    fresh = fresh.withColumns({"turn": turn, "made": made})
-    placed = fresh.withColumns(
-        {
-            "domain": F.col("new_to_domain"), "domain_ord": F.array_position(F.array(*map(F.lit, V.GROUPED)), F.col("new_to_domain")) - 1,
-            "group_ord": F.coalesce("at_group", F.coalesce("last_group", F.lit(-1)) + F.col("made")).cast("int"), "group_name": F.col("to_group"),
-            "item_ord": (F.coalesce("last_item", F.lit(-1)) + F.col("turn")).cast("int"),
-        }
-    )
-    out = stays.unionByName(placed.select(*stays.columns))
-    action = F.when((F.col("from_domain") == V.UNMAPPED) & ~to_unmapped, "assign_domain").when(to_unmapped, "return_unmapped").otherwise("remap_domain")
-    known = lambda c: F.when(F.col(c) != V.UNMAPPED, F.col(c))
-    events = gone.select(
-        "doc_id", F.col("new_at").alias("at"), action.alias("action"), item_key("sourceHeader", "text", F.col("item_ord")).alias("itemKey"), F.col("text").alias("itemText"),
-        known("from_domain").alias("fromDomain"), known("new_to_domain").alias("toDomain"), "sourceSection", "sourceHeader", note.alias("note"),
-        synonym_domain(F.coalesce("sourceHeader", "own_group", F.lit(""))).alias("autoSuggestedDomain"),
+    came, goes = move["domain"], move["to_domain"]
+    source = groups.get(came, [])
+    at, place = move["group_ord"], move["item_ord"]
+    if at is None or place is None or not (0 <= at < len(source) and 0 <= place < len(source[at]["items"])):
+        return None
+    group = source[at]
+    item = dict(group["items"][place], mappedBy="user", mappingConfidence="user")
+    note = move["note"] or None
+    if note:
+        item["mappingNote"] = note
+    if not item["header"] and group["name"] and group["name"] != "General":
+        item["sourceHeader"], item["header"] = group["name"], group["strip"]
+        item["sourceSection"] = item["sourceSection"] or group["name"]
+    left = [*group["items"][:place], *group["items"][place + 1 :]]
+    groups[came] = [g for g in ({**g, "items": left} if i == at else g for i, g in enumerate(source)) if g["items"]]
+    back = goes == V.UNMAPPED
+    name = (item["header"] or group["name"] or "Unmapped") if back else "General"
+    target = groups.setdefault(goes, [])
+    there = next((g for g in target if g["name"] == name), None)
+    if there is None:
+        there = {"name": name, "strip": name.strip(), "items": []}
+        target.append(there)
+    if all(i["same"] != item["same"] for i in there["items"]):
+        there["items"] = [*there["items"], item]
+    action = "return_unmapped" if back else "assign_domain" if came == V.UNMAPPED else "remap_domain"
+    known = lambda d: None if d == V.UNMAPPED else d
+    return {
+        "at": move["at"], "action": action, "fromDomain": known(came), "toDomain": known(goes), "sourceSection": item["sourceSection"], "sourceHeader": item["sourceHeader"],
+        "text": item["text"], "ownGroup": group["name"], "item_ord": place, "note": note,
+    }
+
+
+def moved(items: DataFrame, moves: DataFrame, families: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, events) after a log of moves: doc_id, domain, group_ord, item_ord, to_domain, note, at, and optionally seq.
+
+    Moves of a document apply in order of at and seq (0 where it is missing), then of their other columns; each names its
+    item by the place that it has by then, so an item may move on and on, and every move that meets an item is an event.
+    Moves that meet none have no effect. items: the long form with all attributes, blank items included where the
+    model has some, as places count them. Documents without moves are left as they are. families: doc_id, layoutFamily of the
+    models, for the events. A task holds the items and moves of one document at a time.
+    """
+    helpers = {"same": F.lower(strip(F.coalesce("text", F.lit("")))), "header": F.coalesce(strip("sourceHeader"), F.lit("")), "strip": F.coalesce(strip("group_name"), F.lit(""))}
+    columns = items.columns
+    log = moves if "seq" in moves.columns else moves.withColumn("seq", F.lit(0))
+    log = log.select(*PLACE, "to_domain", F.coalesce(strip("note"), F.lit("")).alias("note"), "at", F.col("seq").cast("long").alias("seq"))
+    log = log.select([F.col(c).alias(f"move_{c}") for c in log.columns])  # moves are often made from the items; names of their own keep the two apart
+    item_type, order = items.schema, {d: i for i, d in enumerate(V.GROUPED)}
+    out_type = f"item {item_type.simpleString()}, event struct<doc_id:{item_type['doc_id'].dataType.simpleString()},{EVENT.replace(' string', ':string').replace(' int', ':int').replace(', ', ',')}>"
+
+    def fold(found: pa.Table, log: pa.Table) -> pa.Table:
+        rows, events = sorted(found.to_pylist(), key=lambda r: (order.get(r["domain"], -1), r["group_ord"], r["item_ord"])), []
+        if log.num_rows:
+            log = log.rename_columns([c.removeprefix("move_") for c in log.column_names])
+            doc_id = log.column("doc_id")[0].as_py()
+            groups: dict[str, list[dict]] = {}
+            for (domain, _), members in groupby(rows, key=lambda r: (r["domain"], r["group_ord"])):
+                members = list(members)
+                groups.setdefault(domain, []).append({"name": members[0]["group_name"], "strip": members[0]["strip"], "items": members})
+            for move in sorted(log.to_pylist(), key=lambda m: tuple((m[c] is not None, m[c] if m[c] is not None else 0) for c in ("at", "seq", "domain", "group_ord", "item_ord", "to_domain", "note"))):
+                if (event := replay(groups, move)) is not None:
+                    events.append({"doc_id": doc_id, **event})
+            rows = [{**r, "domain": d, "domain_ord": order.get(d), "group_ord": i, "group_name": g["name"], "item_ord": j} for d, gs in groups.items() for i, g in enumerate(gs) for j, r in enumerate(g["items"])]
+        rows = [{c: r[c] for c in columns} for r in rows]
+        return pa.Table.from_pylist([{"item": r, "event": None} for r in rows] + [{"item": None, "event": e} for e in events], schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(out_type))
+    both = items.withColumns(helpers).groupBy("doc_id").cogroup(log.groupBy("move_doc_id")).applyInArrow(fold, out_type)
+    after = both.where("item is not null").select("item.*")
+    found = both.where("event is not null").select("event.*")
+    events = found.select(
+        "doc_id", "at", F.lit("").alias("fileId"), "action", item_key("sourceHeader", "text", F.col("item_ord")).alias("itemKey"), F.col("text").alias("itemText"), "fromDomain", "toDomain",
+        "sourceSection", "sourceHeader", "note", synonym_domain(F.coalesce(F.nullif("sourceHeader", F.lit("")), "ownGroup", F.lit(""))).alias("autoSuggestedDomain"),
     )
-    return out, events
+    if families is not None:
+        events = events.join(families.select("doc_id", "layoutFamily"), "doc_id", "left")
+    return after, events
 
 
 def edited(items: DataFrame, edits: DataFrame) -> DataFrame:

@@ -101,11 +101,22 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.similar_pairs(rows, rows, 0.2).select("e", "a", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id // 2 AS doc_id, conv_id % 2 AS side, turn, len({TOKENS.format("text")}) AS size, unnest({TOKENS.format("text")}) AS token FROM conversations),
+c AS (SELECT doc_id, side, turn, size, token, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT x.doc_id AS doc_id, x.turn AS e, y.turn AS a, 2.0 * sum(least(x.n, y.n)) / (any_value(x.size) + any_value(y.size)) AS score FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.token = y.token AND x.side = 0 AND y.side = 1
+  GROUP BY x.doc_id, x.turn, y.turn HAVING 2.0 * sum(least(x.n, y.n)) / (any_value(x.size) + any_value(y.size)) >= 0.2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, e, a) AS k FROM p),
+f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS es, CAST([] AS BIGINT[]) AS ys, false AS taken FROM p
+  UNION ALL SELECT f.doc_id, r.k, CASE WHEN list_contains(es, r.e) OR list_contains(ys, r.a) THEN es ELSE list_append(es, r.e) END, CASE WHEN list_contains(es, r.e) OR list_contains(ys, r.a) THEN ys ELSE list_append(ys, r.a) END,
+    NOT (list_contains(es, r.e) OR list_contains(ys, r.a)) FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)
+SELECT doc_id, e, a, round(score, 6) AS score FROM r JOIN f USING (doc_id, k) WHERE taken
+""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of two conversations of a document, matched one to one."""
     number = lambda rows: rows.select("doc_id", F.col("ord.turn").alias("ord"), "text")
-    return matching.greedy_match(matching.similar_pairs(number(turns(spark, sf_dir, 0)), number(turns(spark, sf_dir, 1)), 0.2))
+    found = matching.greedy_match(matching.similar_pairs(number(turns(spark, sf_dir, 0)), number(turns(spark, sf_dir, 1)), 0.2))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -196,12 +207,6 @@ def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looked_up(load(spark, sf_dir, "part"))
 
 
-@query(HEADERS)
-def header_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as header_lookup, under the name of the round in which that left parts out."""
-    return looked_up(load(spark, sf_dir, "part"))
-
-
 def looked_up(parts: DataFrame) -> DataFrame:
     m = F.col("p_size") % 8
     header = (

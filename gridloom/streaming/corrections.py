@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.labels import record_hash
 from ..operators.quality import latest_corrections
 from ..operators.sessions import is_busy
 
@@ -34,12 +33,6 @@ def current_states(log: DataFrame) -> DataFrame:
     return last.withColumn("resumed", F.when(is_busy(F.col("status")), "pending").otherwise(F.col("status")))
 
 
-def changed_records(records: DataFrame, time: str = "at", late: str = "10 minutes") -> DataFrame:
-    """Records of a stream that differ from those seen of their key within the watermark: the rest need no new checkpoint."""
-    keyed = records.withColumn("record_key", record_hash(*[c for c in records.columns if c != time]))
-    return keyed.withWatermark(time, late).dropDuplicatesWithinWatermark(["doc_id", "record_key"])
-
-
 def keep_current(current: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write each batch of changed rows to its own folder; current_rows() reads the last of each key.
 

@@ -57,6 +57,45 @@ def test_greedy_match(spark):
     assert sorted(map(tuple, matching.greedy_match(spark.createDataFrame(rows, "doc_id int, e int, a int, score double")).collect())) == sorted(want)
 
 
+def test_greedy_match_of_a_large_document(spark):
+    """100,000 pairs of one document, in rounds over all tasks; each item keeps its best where no one else wants it."""
+    draw = random.Random(3)
+    rows = [(1, e, draw.randrange(20_000), draw.randrange(60, 101) / 100) for e in range(20_000) for _ in range(5)]
+    best = {}
+    for _, e, a, s in rows:
+        best[e, a] = max(s, best.get((e, a), 0))
+    es, as_, want = set(), set(), []
+    for (e, a), s in sorted(best.items(), key=lambda r: (-r[1], r[0])):
+        if e not in es and a not in as_:
+            want.append((1, e, a, s))
+            es.add(e)
+            as_.add(a)
+    assert sorted(map(tuple, matching.greedy_match(spark.createDataFrame(rows, "doc_id int, e int, a int, score double")).collect())) == sorted(want)
+
+
+def test_a_token_of_all_items_makes_few_pairs(spark):
+    """Every item has the hot token and three of its own; pairs come from shared rare tokens alone."""
+    rows = [(0, i, f"hot a{i} b{i} c{i // 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, text string")
+    found = matching.similar_pairs(df, df, 0.5)
+    assert found.where("e <> a").count() == 3000 and found.where("e = a").count() == 3000
+
+
+def test_dice_on_random_items(spark):
+    draw = random.Random(7)
+    rows = [(d, o, " ".join(draw.choice(["hot", "hot", *"abcdefgh"]) for _ in range(draw.randint(0, 9)))) for d in range(3) for o in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, ord int, text string")
+    for least in (0.3, 0.6, 0.9, 1.0):
+        want = set()
+        for d, e, s in rows:
+            for f, a, t in rows:
+                x, y = Counter(s.split()), Counter(t.split())
+                n = sum(x.values()) + sum(y.values())
+                if d == f and (2 * sum((x & y).values()) >= least * n if n else True):
+                    want.add((d, e, a))
+        assert {(r["doc_id"], r["e"], r["a"]) for r in matching.similar_pairs(df, df, least).collect()} == want
+
+
 def test_dice(spark):
     texts = [(0, 0, "Train the staff, train again"), (0, 1, "train staff"), (0, 2, "…"), (0, 3, ""), (0, 4, "THE *staff*")]
     df = spark.createDataFrame(texts, "doc_id int, ord int, text string")

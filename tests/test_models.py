@@ -1,6 +1,7 @@
 """Exports, rules, slices, sheets, edits, sessions and streams on small inputs, outcomes written out."""
 
 import zipfile
+import random
 from datetime import datetime
 
 import pytest
@@ -148,14 +149,59 @@ def test_grids(spark):
 
 def test_moves(spark):
     df = models(spark, model("a", inputs={"Staff": ["one", "two"], "General": ["three"]}, impact={"General": [" ONE "]}, unmapped={"Notes": ["n"]})).drop("sourceText", "lowLegibility", "textOnlyFallback")
-    rows = [("a", "inputs", 0, 0, "impact", None, "2"), ("a", "inputs", 0, 1, "outputs", None, "1"), ("a", "inputs", 0, 1, "unmapped", " why ", "3"), ("a", "unmapped", 0, 0, "impact", None, "4"), ("a", "inputs", 9, 9, "impact", None, "5")]
-    after, events = edits.moved(items(df), spark.createDataFrame(rows, "doc_id string, domain string, group_ord int, item_ord int, to_domain string, note string, at string"))
-    assert sorted((r["domain"], r["group_name"], r["text"], r["mappedBy"]) for r in after.collect()) == [("impact", "General", " ONE ", None), ("impact", "General", "n", "user"), ("inputs", "General", "three", None), ("unmapped", "Staff", "two", "user")]
-    assert {r["itemText"]: (r["action"], r["fromDomain"], r["toDomain"], r["itemKey"], r["note"]) for r in events.collect()} == {
-        "one": ("remap_domain", "inputs", "impact", "Staff|one|0", None), "two": ("return_unmapped", "inputs", None, "Staff|two|1", "why"), "n": ("assign_domain", None, "impact", "Notes|n|0", None),
-    }
+    rows = [("a", "inputs", 0, 0, "impact", None, "1"), ("a", "inputs", 0, 0, "unmapped", " why ", "2"), ("a", "unmapped", 0, 0, "impact", None, "3"), ("a", "impact", 0, 1, "outputs", None, "4"), ("a", "inputs", 9, 9, "impact", None, "5")]
+    families = spark.createDataFrame([("a", "diagram")], "doc_id string, layoutFamily string")
+    after, events = edits.moved(items(df), spark.createDataFrame(rows, "doc_id string, domain string, group_ord int, item_ord int, to_domain string, note string, at string"), families)
+    assert sorted((r["domain"], r["group_name"], r["text"], r["mappedBy"]) for r in after.collect()) == [("impact", "General", " ONE ", None), ("inputs", "General", "three", None), ("outputs", "General", "n", "user"), ("unmapped", "Staff", "two", "user")]
+    assert [(r["itemText"], r["action"], r["fromDomain"], r["toDomain"], r["itemKey"], r["note"], r["layoutFamily"], r["fileId"]) for r in events.orderBy("at").collect()] == [
+        ("one", "remap_domain", "inputs", "impact", "Staff|one|0", None, "diagram", ""), ("two", "return_unmapped", "inputs", None, "Staff|two|0", "why", "diagram", ""),
+        ("n", "assign_domain", None, "impact", "Notes|n|0", None, "diagram", ""), ("n", "remap_domain", "impact", "outputs", "Notes|n|1", None, "diagram", ""),
+    ]
     made = {r["text"]: (r["group_ord"], r["item_ord"], r["sourceHeader"]) for r in after.collect()}
-    assert made["n"] == (0, 1, "Notes") and made["two"] == (0, 0, "Staff") or made["two"] == (1, 0, "Staff")
+    assert made["n"] == (0, 0, "Notes") and made["two"] == (0, 0, "Staff")
+
+
+def moved_by_hand(model, log):
+    """A plain loop over one nested document: {domain: [[name, [item]]]}, moves (domain, group, item, to, note)."""
+    events = []
+    for domain, g, i, to, note in log:
+        try:
+            name, found = model[domain][g]
+            item = dict(found[i])
+        except IndexError:
+            continue
+        if not item["header"] and name not in ("", "General"):
+            item["header"] = name
+        found.pop(i)
+        model[domain] = [x for x in model[domain] if x[1]]
+        wanted = "General" if to != "unmapped" else item["header"] or name or "Unmapped"
+        for x in model[to]:
+            if x[0] == wanted:
+                break
+        else:
+            x = [wanted, []]
+            model[to].append(x)
+        if item["text"].strip().lower() not in [y["text"].strip().lower() for y in x[1]]:
+            x[1].append(item)
+        events.append((domain if domain != "unmapped" else None, to if to != "unmapped" else None, f"{item['header'] or ''}|{item['text'].strip()}|{i}", note.strip() or None))
+    return model, events
+
+
+def test_random_logs_of_moves(spark):
+    draw = random.Random(6)
+    documents, log, expected = [], [], {}
+    for d in map(str, range(12)):
+        grid = {f: [[n, [{"text": draw.choice("abcdef") + draw.choice(["", " "]) + "x" * draw.randint(0, 2), "header": draw.choice([None, "H"])} for _ in range(draw.randint(1, 4))]] for n in draw.sample(["General", "Staff", "Work", ""], draw.randint(0, 3))] for f in ("inputs", "outputs", "unmapped")}
+        documents.append(model(d, **{f: [(n, [{"text": i["text"], "sourceHeader": i["header"]} for i in found]) for n, found in gs] for f, gs in grid.items()}))
+        moves = [(draw.choice(list(grid)), draw.randint(0, 2), draw.randint(0, 3), draw.choice(list(grid)), draw.choice(["", " n "])) for _ in range(draw.randint(0, 30))]
+        log += [(d, f, g, i, to, note, "t", k) for k, (f, g, i, to, note) in enumerate(moves)]
+        expected[d] = moved_by_hand(grid, moves)
+    df = models(spark, *documents).drop("sourceText", "lowLegibility", "textOnlyFallback")
+    after, events = edits.moved(items(df, blank=True), spark.createDataFrame(log, "doc_id string, domain string, group_ord int, item_ord int, to_domain string, note string, at string, seq int"))
+    places = sorted((r["doc_id"], r["domain"], r["group_ord"], r["group_name"], r["item_ord"], r["text"], r["sourceHeader"]) for r in after.collect())
+    assert places == sorted((d, f, g, n, i, x["text"], x["header"]) for d, (grid, _) in expected.items() for f, gs in grid.items() for g, (n, found) in enumerate(gs) for i, x in enumerate(found))
+    got = sorted(str((r["doc_id"], r["fromDomain"], r["toDomain"], r["itemKey"], r["note"])) for r in events.collect())
+    assert got == sorted(str((d, *e)) for d, (_, es) in expected.items() for e in es)
 
 
 def test_edits(spark):
