@@ -6,77 +6,18 @@ Their order matters; applying the whole twice changes nothing.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
 from ..functions.cells import label_of_item, split_cell, trim_colons
 from ..functions.headers import column_domain, column_of, is_input_subbucket, synonym_of
 from ..functions.text import bare_header, is_blank, norm_header, norm_text, not_blank, strip
 from . import fidelity
+from .harvest import labelled_statement
 from .items import EMPTY, items, nest
 
-HEADING = re.compile(V.STATEMENT_HEADING, re.I)
-STOPS = re.compile(V.STATEMENT_STOPS, re.I | re.A)
-PEOPLE, CHANGE = re.compile(V.POPULATION, re.I | re.A), re.compile(V.CHANGE, re.I | re.A)
-SENTENCE_END = re.compile(r"[.!?][\"'“”)\]*_~`]*\s+")
-
-
-def reads_as_list(s: str) -> bool:
-    """Two list markers or two bold spans."""
-    return len(re.findall(r"(?:^|\s)(?:[-•*]\s+|\d+[.)]\s+)", s)) >= 2 or len(re.findall(r"\*\*[^*]+\*\*", s)) >= 2
-
-
-def is_statement(s: str) -> bool:
-    """80 to 600 characters of prose about people and a change."""
-    t = " ".join(s.split())
-    listed = re.match(r"[-•*]|\d+[.)]", t) or reads_as_list(t)
-    return V.STATEMENT_LEAST <= len(t) <= V.STATEMENT_MOST and not listed and bool(PEOPLE.search(t) and CHANGE.search(t))
-
-
-def without_markup(s: str) -> str:
-    return " ".join(re.sub(r"[*_`~]", "", re.sub(r"\\([\\`*_{}\[\]()#+\-.!])", r"\1", s)).split())
-
-
-def statement_after(flat: str) -> str:
-    """The text up to the next heading: a stop word that only capitals lead up to since a sentence end."""
-    body = re.sub(r"^[:\-–—\s]+", "", flat)
-    for stop in STOPS.finditer(body):
-        ends = [m.end() for m in SENTENCE_END.finditer(body, 0, stop.start())]
-        if not re.search("[a-z]", body[ends[-1] if ends else 0 : stop.start()]):
-            # A longer heading leaves its first word behind the last sentence.
-            body = re.sub(r"([.!?][\"'“”)]*)\s+\S+\s*$", r"\1", body[: stop.start()])
-            break
-    return re.sub("^[\"'“”]+|[\"'“”]+$", "", " ".join(body.split())).strip()
-
-
-def labelled_statement(text: str | None) -> str | None:
-    """The impact statement under its heading in a text: the slice itself, or the first sentence after
-    the heading that reads as one. Without a heading there is none."""
-    flat = " ".join((text or "").split())
-    heading = HEADING.search(flat)
-    if not heading:
-        return None
-    body = statement_after(flat[heading.end() :])
-    if V.STATEMENT_LEAST <= len(body) <= V.STATEMENT_MOST and not reads_as_list(body):
-        return without_markup(body)
-    rest = flat[heading.end() :]
-    for sentence in re.findall(r"[^.!?]+[.!?]+", rest) or [rest]:
-        if is_statement(sentence):
-            return without_markup(sentence)
-    return None
-
-
-@F.pandas_udf(StringType())
-def harvested(text: pd.Series) -> pd.Series:
-    return text.map(labelled_statement)
-
-
 def in_grid() -> Column:
     return F.col("domain") != V.UNMAPPED
 
@@ -152,7 +93,7 @@ def reshape(models: DataFrame) -> DataFrame:
     out = models
     if "sourceText" in models.columns:
         gap = is_blank("impactStatement.content") & not_blank("sourceText")
-        found = F.when(gap, harvested(F.when(gap, F.col("sourceText"))))
+        found = F.when(gap, labelled_statement(F.when(gap, F.col("sourceText"))))
         out = out.withColumn("found", found).withColumn("impactStatement", F.when(F.col("found").isNotNull(), F.struct(F.col("found").alias("content"))).otherwise(F.col("impactStatement"))).drop("found")
     rows = items(models, blank=True).repartition("doc_id")
     for step in (promote_labels, trim_names, split_items, map_headers, drop_restated):
