@@ -90,10 +90,10 @@ def colour_notes(kind: Column, has_legend: Column, stamped: Column) -> Column:
     return F.filter(notes, lambda n: n.isNotNull())
 
 
-def name_list(names: Column) -> Column:
-    """Names, after the fifth only how many more."""
+def name_list(names: Column, n: Column) -> Column:
+    """The first five of n names, and how many more there are."""
     shown = F.array_join(F.slice(names, 1, V.NAMES_MOST), ", ")
-    return F.when(F.size(names) <= V.NAMES_MOST, shown).otherwise(F.concat(shown, F.lit(" and "), (F.size(names) - V.NAMES_MOST).cast("string"), F.lit(" more")))
+    return F.when(n <= V.NAMES_MOST, shown).otherwise(F.concat(shown, F.lit(" and "), (n - V.NAMES_MOST).cast("string"), F.lit(" more")))
 
 
 def item_key(header: Column | str, text: Column | str, at: Column) -> Column:

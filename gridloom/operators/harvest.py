@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import squeeze, strip_markup
+from ..functions.text import let, squeeze, strip_markup
 
 #: The edge of a word of ASCII letters, digits and underscores, in any version of the engine's pattern language.
 EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -56,19 +56,14 @@ def stop_at(body: Column) -> Column:
     return F.aggregate(stretches, state(F.lit(False), F.lit(False), F.lit(0)), step, lambda acc: F.when(acc["found"], acc["at"]))
 
 
-def held(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def statement_after(rest: Column) -> Column:
     """The text after a heading up to the next one, without the first word that a longer heading leaves behind the last sentence."""
 
     def ended(body: Column) -> Column:
         cut = lambda at: F.when(at.isNull(), body).otherwise(F.regexp_replace(F.substring(body, F.lit(1), at), r"([.!?][\"'“”)]*)\s+\S+\s*\z", "$1"))
-        return held(stop_at(body), cut)
+        return let(stop_at(body), cut)
 
-    body = held(F.regexp_replace(rest, r"^[:\-–—\s]+", ""), ended)
+    body = let(F.regexp_replace(rest, r"^[:\-–—\s]+", ""), ended)
     return F.trim(F.regexp_replace(squeeze(body), "^[\"'“”]+|[\"'“”]+\\z", ""))
 
 
@@ -79,8 +74,8 @@ def labelled_statement(text: Column) -> Column:
     def after(rest: Column) -> Column:
         found = F.regexp_extract_all(rest, F.lit("[^.!?]+[.!?]+"), F.lit(0))
         sentences = F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(rest)), squeeze)
-        body = held(statement_after(rest), lambda s: F.when(fits(s) & ~reads_as_list(s), s))
+        body = let(statement_after(rest), lambda s: F.when(fits(s) & ~reads_as_list(s), s))
         return strip_markup(F.coalesce(body, F.get(F.filter(sentences, is_statement), F.lit(0))))
 
     parts = F.split(squeeze(text), HEADING, 2)
-    return held(parts, lambda p: F.when(F.size(p) == 2, after(F.get(p, F.lit(1)))))
+    return let(parts, lambda p: F.when(F.size(p) == 2, after(F.get(p, F.lit(1)))))

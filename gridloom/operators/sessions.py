@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.cells import split_cell
 from ..functions.labels import display_name, name_list, record_hash
-from ..functions.text import seed
+from ..functions.text import norm_match, seed
 from .fidelity import banner, signals
-from .items import items
+from .items import fields, items
 
 
 def is_ready(status: Column) -> Column:
@@ -121,22 +121,36 @@ def split_survey(models: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("items"), F.count_if(some).alias("cells_split"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("parts"), F.count_distinct(F.when(some, F.col("doc_id"))).alias("documents"))
 
 
-def findable(models: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, n_items, n_found: items whose wording stands in the document's text. texts: doc_id, sourceText."""
-    from ..functions.text import in_source
+def sought(models: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, domain, group_name, text, found: whether the wording of each item and overview field stands in the document's text.
+
+    texts: doc_id, sourceText, one row per document; a document without a row or text has an empty one. Each text is normalized once and stays
+    in one row: a document's wordings are gathered and brought to it, not the text to each of them.
+    """
+    overview = fields(models).where(F.col("field").isin(*V.OVERVIEW)).select("doc_id", F.col("field").alias("domain"), F.lit(None).cast("string").alias("group_name"), F.col("value").alias("text"))
+    rows = items(models).select("doc_id", "domain", "group_name", "text").unionByName(overview)
+    wordings = rows.groupBy("doc_id").agg(F.collect_list(F.struct("domain", "group_name", "text", norm_match("text").alias("needle"))).alias("w"))
+    flat = texts.select("doc_id", norm_match(F.coalesce("sourceText", F.lit(""))).alias("hay"))
+    both = wordings.join(flat, "doc_id", "left").withColumn("hay", F.coalesce("hay", F.lit("")))
+    tested = F.transform("w", lambda x: F.struct(x["domain"].alias("domain"), x["group_name"].alias("group_name"), x["text"].alias("text"), F.contains(F.col("hay"), x["needle"]).alias("found")))
+    return both.select("doc_id", F.explode(tested).alias("x")).select("doc_id", "x.*")
 
-    rows = items(models).select("doc_id", "text").join(texts, "doc_id").select("doc_id", in_source("text", "sourceText").alias("hit"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if("hit").alias("n_found"))
+
+def findable(models: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, n_items, n_found: wordings of each document, and how many of them stand in its text."""
+    return sought(models, texts).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if("found").alias("n_found"))
 
 
 def batch_outcome(files: DataFrame) -> DataFrame:
     """message of a batch of prints: one row; null if none was left out. files: ord, name, outcome (drawn, empty, failed).
 
-    Names are put together for a reader: the five that are shown, and how many more."""
-    names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.struct("ord", "name")))), lambda x: x["name"])
-    all_ = files.agg(F.count("*").alias("total"), names("empty").alias("empty"), names("failed").alias("failed"))
-    omitted = F.size("empty") + F.size("failed")
-    part = lambda c, one, many, end: F.when(F.size(c) > 0, F.concat(F.size(c).cast("string"), F.when(F.size(c) == 1, one).otherwise(many), F.lit(end), name_list(F.col(c)), F.lit(".")))
+    Of the files left out only the first five of each kind come together, for a reader, with how many more there are."""
+    ranked = files.where(F.col("outcome").isin("empty", "failed")).withColumn("r", F.row_number().over(Window.partitionBy("outcome").orderBy("ord", "name"))).where(F.col("r") <= V.NAMES_MOST)
+    shown = ranked.groupBy().agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.struct("r", "name")))), lambda x: x["name"]).alias(kind) for kind in ("empty", "failed")])
+    count = files.agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == kind).alias(f"n_{kind}") for kind in ("empty", "failed")])
+    all_ = count.withColumn("one", F.lit(1)).join(shown.withColumn("one", F.lit(1)), "one")  # a row on either side
+    omitted = F.col("n_empty") + F.col("n_failed")
+    part = lambda c, one, many, end: F.when(F.col(f"n_{c}") > 0, F.concat(F.col(f"n_{c}").cast("string"), F.when(F.col(f"n_{c}") == 1, one).otherwise(many), F.lit(end), name_list(F.col(c), F.col(f"n_{c}")), F.lit(".")))
     head = F.when(omitted >= F.col("total"), "Couldn't create the batch ZIP.").otherwise(F.format_string("Downloaded %d of %d PDFs.", F.col("total") - omitted, "total"))
     text = F.concat_ws(" ", head, part("empty", " file had", " files had", " nothing to put in a PDF: "), part("failed", " file couldn't", " files couldn't", " be drawn: "))
     return all_.select(F.when(omitted > 0, text).alias("message"))

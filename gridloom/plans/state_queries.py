@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import edits
+from ..operators import budget, edits, sessions
 from ..operators.items import items
 from ..streaming import checkpoints
 from .model_queries import BASE, models, pick
@@ -66,3 +66,38 @@ def move_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = first.select(*edits.PLACE, x.alias("to_domain"), F.lit(1).alias("seq")).unionByName(second).unionByName(third)
     _, events = edits.moved(rows, log.withColumns({"note": F.lit(None).cast("string"), "at": F.col("seq").cast("string")}))
     return events.select("doc_id", F.col("at").cast("int").alias("step"), "action", "itemKey", "fromDomain", "toDomain", "sourceHeader")
+
+
+FLAT = "trim(regexp_replace(lower(regexp_replace({}, '[*_`~]', '', 'g')), '[\\s\\x0b]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id AS k, {FLAT.format("string_agg(text, ' ' ORDER BY turn)")} AS hay FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id),
+w AS (SELECT conv_id AS k, text FROM conversations WHERE regexp_matches(text, '\\S') UNION ALL SELECT DISTINCT conv_id, 'Mission ' || conv_id FROM conversations WHERE conv_id % 2 = 0)
+SELECT k AS doc_id, count(*) AS n_items, count(*) FILTER (contains(coalesce(hay, ''), {FLAT.format("text")})) AS n_found FROM w LEFT JOIN s USING (k) GROUP BY k
+""")
+def findable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many wordings of each conversation's model stand in a text that lacks every third turn."""
+    turns = load(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    texts = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("sourceText"))
+    return sessions.findable(models(spark, sf_dir), texts)
+
+
+def encoded(area: str, quality: str, scale: str) -> str:
+    return f"CAST(floor({area} * {quality} * {scale} * {scale} / 3) AS BIGINT)"
+
+
+WAYS = ", ".join(f"({i}, {p}, CAST({q} AS DOUBLE), CAST({s} AS DOUBLE), CAST({v} AS DOUBLE))" for i, (p, q, s, v) in enumerate(budget.WAYS))
+
+
+@query(f"""
+WITH p AS (SELECT l_orderkey AS k, l_linenumber % 3 = 0 AS img, CAST(l_extendedprice * 40 AS DOUBLE) AS area FROM lineitem),
+w(way, phase, q, s, v) AS (VALUES {WAYS}),
+t AS (SELECT k, way, phase, q, s, v, sum(CASE WHEN img THEN {encoded("area", "q", "v")} ELSE {encoded("area", "q", "s")} END) AS bytes, bool_or(img) AS images, bool_or(NOT img) AS texts FROM p CROSS JOIN w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bytes <= 3800000 DESC, CASE WHEN bytes <= 3800000 THEN way ELSE -way END) AS n FROM t WHERE CASE WHEN phase = 1 THEN texts ELSE images END)
+SELECT k AS doc_id, phase, q AS quality, s AS scale, v AS image_scale, CAST(bytes AS BIGINT) AS bytes, bytes <= 3800000 AS fits FROM r WHERE n = 1
+""")
+def budget_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents and their lines as pages of some area, every third an image: the first way to draw them that fits."""
+    pages = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3 == 0).alias("is_image"), (F.col("l_extendedprice") * 40).cast("double").alias("area"))
+    return budget.first_fit(pages, lambda q, s: F.floor(F.col("area") * q * s * s / 3))
