@@ -10,13 +10,30 @@ from .headers import label_of
 from .text import col, colour, is_blank, norm_text, squeeze, strip
 
 
-def friendly_error(message: Column | str) -> Column:
-    """What a user is told about an error's text: the first pattern that it holds, else the text itself."""
+def surfaces(kind: Column | str) -> Column:
+    """Whether an error of this kind (its name) must be shown as it is, and not be passed over by a reading as text only."""
+    return F.coalesce(col(kind).isin(*V.SURFACING), F.lit(False))
+
+
+def friendly_error(message: Column | str, kind: Column | str | None = None, service: str = "The model's service", setting: str = "its key") -> Column:
+    """What a user is told about an error's text: the first pattern that it holds, else the text itself.
+
+    Errors that surface are written for the user already and pass through. service, setting: what the caller's model and the
+    setting of its key are called.
+    """
     text = F.when(F.coalesce(col(message), F.lit("")) == "", F.lit("Something went wrong")).otherwise(col(message))
     out = text
     for pattern, told in reversed(V.ERRORS):
-        out = F.when(text.rlike(pattern), F.lit(told)).otherwise(out)
-    return out
+        out = F.when(text.rlike(pattern), F.lit(told.format(service=service, setting=setting))).otherwise(out)
+    return out if kind is None else F.when(surfaces(kind), F.coalesce(col(message), F.lit(""))).otherwise(out)
+
+
+def deck_failure(cause: Column | str, retried: Column | str) -> Column:
+    """What is told of a deck that could not be drawn: the cause on one line of a bounded length, and whether to try again."""
+    clean = squeeze(F.coalesce(col(cause), F.lit("")))
+    short = F.when(F.length(clean) > V.REASON_MOST, F.concat(F.substring(clean, 1, V.REASON_MOST - 1), F.lit("…"))).otherwise(clean)
+    what = F.concat(F.lit(V.DECK_FAILED), F.when(short != "", F.concat(F.lit(" ("), short, F.lit(")"))).otherwise(""), F.lit("."))
+    return F.concat(what, F.when(col(retried), V.DECK_RETRIED).otherwise(V.DECK_REFUSED))
 
 
 def prompt_variant(vision: Column, text_track: Column, low_legibility: Column) -> Column:

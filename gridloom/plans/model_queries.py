@@ -294,10 +294,11 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)api key|401|unauthoriz
 """)
 def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the friendly texts each turn would get as an error's text."""
-    told = labels.friendly_error("text")
+    service, setting = "Service", "KEY"
+    told = labels.friendly_error("text", service=service, setting=setting)
     kind = F.lit("text")
     for name, (_, text) in reversed(list(zip(("key", "rate", "path", "size", "read"), V.ERRORS))):
-        kind = F.when(told == text, F.lit(name)).otherwise(kind)
+        kind = F.when(told == text.format(service=service, setting=setting), F.lit(name)).otherwise(kind)
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("told"))
 
 

@@ -237,7 +237,17 @@ def test_labels(spark):
     row = spark.createDataFrame([("a\n  b" + "x" * 300, '{"modelVersion": " m "}', '{"modelVersion": 3}', "aGk=", "??")], "reason string, ok string, no string, good string, bad string")
     r = row.select(L.fallback_warning("reason").alias("w"), L.served_model("ok").alias("m"), L.served_model("no").alias("n"), L.payload("good").alias("g"), L.status_label(F.lit("editing")).alias("s"), L.prompt_variant(F.lit(True), F.lit(False), F.lit(True)).alias("v"), L.colour_notes(F.lit("cross_cutting"), F.lit(False), F.array(F.lit("inputs"))).alias("c"), L.has_colour(F.lit(" RED"), F.lit("red")).alias("h"), L.friendly_error(F.lit("HTTP 429")).alias("e"), L.friendly_error(F.lit(None).cast("string")).alias("z")).first()
     assert r["w"].startswith(V.TEXT_ONLY + " Reason: a bxxx") and r["w"].endswith("…") and (r["m"], r["n"], bytes(r["g"]), r["s"], r["v"], r["h"]) == ("m", None, b"hi", "Ready to edit", "vision-only+lowleg", True)
-    assert r["c"] == [V.COLOUR_NO_KEY, f"Inputs is {V.COLOUR_STAMPED}"] and r["e"] == V.ERRORS[1][1] and r["z"] == "Something went wrong"
+    assert r["c"] == [V.COLOUR_NO_KEY, f"Inputs is {V.COLOUR_STAMPED}"] and r["e"] == "The model's service is rate-limiting requests. Wait a moment, then try again." and r["z"] == "Something went wrong"
+
+
+def test_errors_that_surface(spark):
+    rows = [("vision is down, 401", "VisionUnavailableError"), ("vision is down, 401", "Error"), ("vision is down", None), (None, "VisionConversionFailedError")]
+    df = spark.createDataFrame(rows, "message string, kind string")
+    told = [r[0] for r in df.select(L.friendly_error("message", "kind", "Model", "KEY")).collect()]
+    assert told == ["vision is down, 401", "Couldn't reach Model — check that KEY is set.", V.ERRORS[4][1], ""]
+    assert [r[0] for r in df.select(L.surfaces("kind")).collect()] == [True, False, False, True]
+    deck = spark.createDataFrame([(" a\n b ", True), ("x" * 300, False), (None, False)], "cause string, retried boolean").select(L.deck_failure("cause", "retried")).collect()
+    assert deck[0][0] == "Couldn't convert this deck to pages (a b)." + V.DECK_RETRIED and "…)." in deck[1][0] and deck[2][0] == "Couldn't convert this deck to pages." + V.DECK_REFUSED
 
 
 def test_streams(spark, tmp_path):
