@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import budget, edits, sessions
+from ..operators import budget, edits, sessions, sums
 from ..operators.items import items
 from ..streaming import checkpoints
 from .model_queries import BASE, models, pick
@@ -101,3 +101,11 @@ def budget_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents and their lines as pages of some area, every third an image: the first way to draw them that fits."""
     pages = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3 == 0).alias("is_image"), (F.col("l_extendedprice") * 40).cast("double").alias("area"))
     return budget.first_fit(pages, lambda q, s: F.floor(F.col("area") * q * s * s / 3))
+
+
+@query()
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of each part and of all lines, summed exactly. No SQL: the engines' own sums depend on the order of rows; tests/test_sums.py
+    holds the operator against an exactly rounded sum."""
+    rows = load(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))).alias("revenue"))
+    return sums.exact_sums(rows, "revenue", "l_partkey").unionByName(sums.exact_sums(rows, "revenue").withColumn("l_partkey", F.lit(None).cast(rows.schema["l_partkey"].dataType)))
