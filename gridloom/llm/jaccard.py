@@ -15,17 +15,18 @@ other member leave it. The rest are compared with a hub of the list first; conne
 contracted, and only members in different components are compared after that, so that no link between
 components is lost. A list that still holds many components is split before that: c shared shingles
 of the prefix become c + 1, as linked sets also share that many, until lists are short or c is DEEPEST.
+Lists that are long even then are ordered anew by the frequencies among their own members and split by that.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_worker_caches, fresh, load, materialize
@@ -39,7 +40,7 @@ WORDS, NUM, DEN = 5, 4, 5
 COUNTED, FREQUENT = 3_000_000, 200_000
 #: Cost of comparing two sets, in keys written.
 COMPARE = 50
-#: Components of a list above which it is split by a further shingle, and shingles of a key at most. Neither changes a result.
+#: Components of a list above which it is split by a further shingle, and shingles of a key until lists are ordered anew. Neither changes a result.
 #: A split writes each member once for every further shingle of its prefix, so it pays for long lists only.
 CROWD, DEEPEST = 2048, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -347,29 +348,61 @@ def deeper(lists: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     return with_partners(materialize(shared_lists(rows)))
 
 
+def reordered(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists split by their members' own frequencies: within a list the shingles that most members have come last, and each
+    member goes to the lists of its key and one shingle of its prefix in that order.
+
+    Any order that all members of a list follow will do, so two linked sets meet again. What members share beyond their key
+    leaves the prefixes unless it makes up four fifths of a set: a passage common to a list, however rare elsewhere, lists nothing.
+    """
+
+    def run(batches):
+        names = ["key", "node", "n", "shingle"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [unpack(blob) for blob in part.column(3).to_pylist()]
+                row = np.repeat(np.arange(len(found)), [len(s) for s in found])
+                columns = [pa.array(part.column(i).to_numpy()[row]) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found).view(np.int64))], names)
+
+    rows = lists.select("key", "node", "n").join(sets, "node").select("key", "node", "n", "shingles")
+    rows = materialize(rows.mapInArrow(run, "key long, node long, n int, shingle long"))
+    counts = cut(rows.groupBy("key", "shingle").agg(F.count("*").alias("members")))  # so that the join splits
+    place = F.row_number().over(Window.partitionBy("key", "node").orderBy("members", "shingle"))  # as many rows as a set has shingles
+    rows = rows.join(counts.hint("merge"), ["key", "shingle"]).withColumn("place", place)
+    rows = rows.where((F.col("place") <= F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1) & (F.col("members") > 1))
+    rows = rows.select(F.xxhash64("key", "shingle").alias("key"), "node", "n", ((F.col("place") - 1) * PLACE + 1).cast("int").alias("at"))
+    return with_partners(materialize(shared_lists(rows)))
+
+
 def crossing_pairs(lists: DataFrame, components: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     """(a, b): pairs of list members in different components.
 
     The component with most members of a list is its main one; only the others, the strays, are
-    paired, with all members of other components. Lists of more than CROWD components are split first.
+    paired, with all members of other components. Lists of more than CROWD components are split first: by a further
+    shingle up to DEEPEST, then by their own frequencies, as long as that takes a tenth off the pairs that they would make.
     """
-    out = None
-    for depth in range(1, DEEPEST + 1):
+    out, before = None, None
+    for depth in count(1):
         known = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = known.groupBy("key", "component").agg(F.count("*").alias("members"))
         main = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         main = cut(main.select("key", "parts", F.col("m.component").alias("main")))  # so that the join splits
         known = cut(known.join(main.hint("merge"), "key"))
-        crowded = F.col("parts") > CROWD if depth < DEEPEST else F.lit(False)
+        pairs = main.where(F.col("parts") > CROWD).agg(F.sum(F.col("parts").cast("double") ** 2)).first()[0] or 0.0
+        last = not pairs or (depth > DEEPEST and pairs > 0.9 * before)
+        before = pairs
+        crowded = F.lit(False) if last else F.col("parts") > CROWD
         short = known.where(~crowded)
         x, y = short.where("component <> main").alias("x"), short.alias("y")
         rows = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y"))
         rows = rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         out = rows if out is None else out.union(rows)
-        lists = known.where(crowded)
-        if depth == DEEPEST or lists.isEmpty():
+        if last:
             return out.distinct()
-        lists = deeper(lists, sets, frequent)
+        lists = known.where(crowded)
+        lists = deeper(lists, sets, frequent) if depth < DEEPEST else reordered(lists, sets)
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,25 @@ def test_crowded_lists_are_split(spark, monkeypatch):
         check(spark, variants(21 + light, 12), "doc_id long, text string")
 
 
+def test_lists_that_stay_long_are_ordered_anew(spark, monkeypatch):
+    """A template of two fifths of every text, in no list of frequent shingles: the pairs compared stay few, and no link is lost."""
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "DEEPEST", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    written = []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets: written.append(pairs.count()) or verified(pairs, sets))
+    draw = random.Random(8)
+    template = " ".join(f"form{i}" for i in range(30))
+    rows = [(i, f"{template} {' '.join(f'own{i}x{j}' for j in range(36 + i % 5))}") for i in range(120)]
+    rows += [(200 + i, t.replace(f"own{i}x20", "changed")) for i, t in draw.sample(rows, 12)]
+    for light in (0, 10**6):
+        written.clear()
+        monkeypatch.setattr(jaccard, "boundary", lambda *_, light=light: light)
+        check(spark, rows, "doc_id long, text string")
+        assert written[1] < 300, written  # 7,000 pairs share the template
+
+
 def test_a_passage_that_all_documents_share(spark):
     """10,000 documents share one passage and nothing else: they must not be compared in pairs."""
     draw = random.Random(5)
