@@ -85,13 +85,27 @@ def materialize(df: DataFrame) -> DataFrame:
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def rewritten(df: DataFrame, step) -> DataFrame:
+    """materialize(step(materialize(df))), without the first table once the second is written: nothing reads it again."""
+    table = materialize(df)
+    mine = _TABLES[-1]
+    out = materialize(step(table))
+    delete(*mine)
+    _TABLES.remove(mine)
+    return out
+
+
 @atexit.register
 def drop_tables() -> None:
     """Delete what materialize() has written, while the session still runs."""
     while _TABLES:
-        spark, path = _TABLES.pop()
         with contextlib.suppress(Exception):  # the session may have gone
-            spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+            delete(*_TABLES.pop())
 
 
 def crc32_of(text: Column) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_worker_caches, fresh, load, materialize
+from .common import cut, drop_worker_caches, fresh, load, materialize, rewritten
 from .components import connected_components
 
 
@@ -389,7 +389,7 @@ def crossing_pairs(lists: DataFrame, components: DataFrame, sets: DataFrame, fre
         parts = known.groupBy("key", "component").agg(F.count("*").alias("members"))
         main = parts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         main = cut(main.select("key", "parts", F.col("m.component").alias("main")))  # so that the join splits
-        known = cut(known.join(main.hint("merge"), "key"))
+        known = materialize(known.join(main.hint("merge"), "key"))
         pairs = main.where(F.col("parts") > CROWD).agg(F.sum(F.col("parts").cast("double") ** 2)).first()[0] or 0.0
         last = not pairs or (depth > DEEPEST and pairs > 0.9 * before)
         before = pairs
@@ -409,7 +409,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, t, n, component_id, part of every row of ``docs``: t is xxhash64 of the text, n the size of its set, and part
     the number of its component (null for an empty set)."""
     for seed in range(8):
-        described = cut(describe(docs, seed))
+        described = materialize(describe(docs, seed))
         rows = described.where("kind = 0")
         classes = cut(rows.where("n > 0").groupBy("a").agg(F.min("doc_id").alias("root"), F.max("n").alias("n"), F.min("b").alias("low"), F.max("b").alias("high")))
         if classes.where("low <> high").isEmpty():
@@ -421,7 +421,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     sizes = [(int(r["size"]), r["k"]) for r in classes.groupBy(level).agg(F.max("n").alias("size"), F.count("*").alias("k")).collect()]
     light = boundary(sizes, COMPARE * rest / max(1, sum(n * c for n, c in sizes)))
     frequent = docs.sparkSession.sparkContext.broadcast(often)  # FREQUENT numbers at most
-    lists = materialize(with_partners(materialize(shared_lists(list_entries(docs, frequent, light, seed)))))
+    lists = rewritten(shared_lists(list_entries(docs, frequent, light, seed)), with_partners)
     sets = materialize(sets_of(docs, lists.select("node").distinct(), seed))
     tried = cut(hub_pairs(lists))
     links = cut(verified(tried, sets))
