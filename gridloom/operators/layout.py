@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.text import squeeze, strip
 
 
 def normalized_ink(profile: DataFrame) -> DataFrame:
@@ -71,3 +72,26 @@ def page_groups(groups: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("all_ok", F.min("ok").over(n) & (F.max("end_").over(n) == F.col("n"))).where("all_ok").select("doc_id", "start", "end_")
     whole = pages.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).cast("long").alias("start"), F.col("n").cast("long").alias("end_"))
     return rows.unionByName(whole)
+
+
+def page_texts(runs: DataFrame) -> DataFrame:
+    """doc_id, text: a document's text from the runs of its pages, each page under its marker and its large lines as headings.
+
+    runs: doc_id, page, run_no, str, height, eol; a run without a string only ends lines, and a page whose runs have none
+    keeps its marker. A line is as high as its highest run; a page's heights are judged by its own upper median.
+    """
+    before = Window.partitionBy("doc_id", "page").orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("line_no", F.coalesce(F.sum(F.coalesce("eol", F.lit(False)).cast("int")).over(before), F.lit(0)))
+    some = F.coalesce("str", F.lit("")) != ""
+    words = F.transform(F.array_sort(F.collect_list(F.when(some, F.struct("run_no", "str")))), lambda x: x["str"])
+    height = F.coalesce(F.max(F.when(some, F.abs("height"))), F.lit(0)).cast("double")
+    lines = rows.groupBy("doc_id", "page", "line_no").agg(squeeze(F.array_join(words, " ")).alias("text"), height.alias("height"))
+    full = F.col("text") != ""
+    heights = F.array_sort(F.collect_list(F.when(full & (F.col("height") > 0), F.col("height"))))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.when(full, F.struct("line_no", "text", "height")))).alias("lines"), heights.alias("heights"))
+    pages = pages.withColumn("mid", F.try_element_at("heights", (F.floor(F.size("heights") / 2) + 1).cast("int")))
+    heads = lambda x: (x["height"] >= V.HEADING_RATIO * F.col("mid")) & (F.length(x["text"]) <= V.HEADING_CHARS)
+    body = F.array_join(F.transform("lines", lambda x: F.when(heads(x), F.concat(F.lit("### "), x["text"])).otherwise(x["text"])), "\n")
+    marked = F.concat(F.lit("\n\n## Page "), F.col("page").cast("string"), F.lit("\n\n"), body)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("page", marked.alias("text")))), lambda x: x["text"])
+    return pages.groupBy("doc_id").agg(strip(F.array_join(in_order, "")).alias("text"))

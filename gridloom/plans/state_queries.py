@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import budget, edits, sessions, sums
+from ..operators import budget, edits, layout, sessions, sums
 from ..operators.items import items
 from ..streaming import checkpoints
 from .model_queries import BASE, models, pick
@@ -109,3 +109,20 @@ def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds the operator against an exactly rounded sum."""
     rows = load(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))).alias("revenue"))
     return sums.exact_sums(rows, "revenue", "l_partkey").unionByName(sums.exact_sums(rows, "revenue").withColumn("l_partkey", F.lit(None).cast(rows.schema["l_partkey"].dataType)))
+
+
+@query("""
+WITH w AS (SELECT conv_id AS k, turn + 1 AS page, unnest(string_split(text, ' ')) AS s, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, coalesce(sum(CAST(ends_with(s, '.') AS INT)) OVER (PARTITION BY k, page ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM w),
+l AS (SELECT k, page, line, trim(regexp_replace(string_agg(s, ' ' ORDER BY i) FILTER (s <> ''), '[\\s\\x0b]+', ' ', 'g')) AS text, max(length(s)) AS h FROM n GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, page ORDER BY h) AS r, count(*) OVER (PARTITION BY k, page) AS c FROM l WHERE text <> ''),
+m AS (SELECT k, page, h AS mid FROM f WHERE r = c // 2 + 1),
+b AS (SELECT k, page, string_agg(CASE WHEN h >= 1.35 * mid AND length(text) <= 120 THEN '### ' ELSE '' END || text, chr(10) ORDER BY line) AS body FROM f JOIN m USING (k, page) GROUP BY ALL),
+p AS (SELECT DISTINCT k, page FROM w)
+SELECT k AS doc_id, trim(string_agg(chr(10) || chr(10) || '## Page ' || page || chr(10) || chr(10) || coalesce(body, ''), '' ORDER BY page), ' ' || chr(10) || chr(9)) AS text FROM p LEFT JOIN b USING (k, page) GROUP BY k
+""")
+def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents and turns as pages: words are runs as high as they are long, and full stops end lines."""
+    turns = load(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    runs = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.posexplode(F.split("text", " ")).alias("run_no", "str"))
+    return layout.page_texts(runs.withColumns({"height": F.length("str"), "eol": F.endswith("str", F.lit("."))}))
