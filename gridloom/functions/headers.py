@@ -1,4 +1,4 @@
-"""Headers to columns, by the fixed synonyms; the 30 entries are folded into the plan as literals."""
+"""Headers to columns, by the fixed synonyms; the 30 entries are one literal map, or a table for joins."""
 
 from __future__ import annotations
 
@@ -9,17 +9,26 @@ from . import vocab as V
 from .text import bare_header, col, norm_header
 
 
+#: Key to (rank, domain): a longer key comes first, of equally long ones the one that is listed first.
+RANKED = {key: (i, domain) for i, (key, domain) in enumerate(sorted(V.SYNONYMS, key=lambda s: -len(s[0])))}
+KEY_WORDS = max(len(key.split(" ")) for key in RANKED)
+
+
+def key_forms(header: Column | str, bare: Column | str) -> Column:
+    """All that a key may be of a header: what it opens or closes with, up to as many words as keys have (the whole
+    header, if it has no more), and its bare form. Keys are then met by equality alone."""
+    n = col(header)
+    ends = [F.substring_index(n, " ", sign * k) for k in range(1, KEY_WORDS + 1) for sign in (1, -1)]
+    return F.array(*ends, col(bare))
+
+
 def synonym_of(header: Column | str, bare: Column | str) -> Column:
     """Loose: the longest key that a header equals, opens with or closes with; null for none.
 
     header, bare: its normalized and its bare form, best as columns computed before: each is read often.
     """
-    n, b = col(header), col(bare)
-    out = F.lit(None).cast("string")
-    for key, domain in sorted(V.SYNONYMS, key=lambda s: len(s[0])):  # the longest is tested first
-        hit = (n == key) | F.startswith(n, F.lit(f"{key} ")) | F.endswith(n, F.lit(f" {key}")) | (b == key)
-        out = F.when(hit, F.lit(domain)).otherwise(out)
-    return out
+    ranks = F.create_map(*[x for key, (rank, domain) in RANKED.items() for x in (F.lit(key), F.struct(F.lit(rank).alias("rank"), F.lit(domain).alias("domain")))])
+    return F.array_min(F.transform(key_forms(header, bare), lambda form: F.try_element_at(ranks, form)))["domain"]
 
 
 def column_of(bare: Column | str) -> Column:
@@ -52,5 +61,5 @@ def domain_dimension(spark: SparkSession) -> DataFrame:
 
 
 def synonym_dimension(spark: SparkSession) -> DataFrame:
-    """key, domain, of the fixed synonyms: 30 rows, for joins."""
-    return spark.createDataFrame(list(V.SYNONYMS), "key string, domain string")
+    """key, domain, rank of the fixed synonyms: 30 rows, for joins."""
+    return spark.createDataFrame([(key, domain, rank) for key, (rank, domain) in RANKED.items()], "key string, domain string, rank int")

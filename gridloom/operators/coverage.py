@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
-from ..functions.headers import synonym_of
+from ..functions.headers import key_forms, synonym_dimension
 from ..functions.text import WS, bare_header, char_grams, norm_header, strip
 
 
@@ -37,12 +37,18 @@ KEYWORDS = "outcomes|short|medium|long|near|impact|resources|inputs|enablers|act
 
 def grid_pages(all_pages: DataFrame) -> DataFrame:
     """doc_id, page of the pages on which one, two or three words in a row name, loosely, three
-    columns or more, one of structure and one of results among them."""
+    columns or more, one of structure and one of results among them.
+
+    Each distinct window of a page is laid out in the forms that a key may have and meets the fixed keys in an
+    equi-join; the longest key names it. Pages without words, or with null text, hold no grid. A page is one row
+    however often it is given."""
     words = F.filter(F.split("text", f"{WS}+"), lambda w: w != "")
     rows = all_pages.select("doc_id", "page", words.alias("words")).withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))))
     rows = rows.select("doc_id", "page", F.explode(F.array(*[F.array_join(F.slice("words", F.col("at"), F.lit(n)), " ") for n in (1, 2, 3)])).alias("window"))
     rows = rows.where(F.lower("window").rlike(KEYWORDS)).distinct().withColumns({"header": norm_header("window"), "bare": bare_header("window")})
-    named = rows.select("doc_id", "page", synonym_of("header", "bare").alias("domain")).where("domain is not null")
+    forms = rows.select("doc_id", "page", "window", F.explode(F.array_distinct(key_forms("header", "bare"))).alias("key"))
+    keys = F.broadcast(synonym_dimension(all_pages.sparkSession))  # 30 fixed rows
+    named = forms.join(keys, "key").groupBy("doc_id", "page", "window").agg(F.min_by("domain", "rank").alias("domain"))
     found = named.groupBy("doc_id", "page").agg(F.collect_set("domain").alias("domains"))
     some = lambda names: F.arrays_overlap("domains", F.array(*map(F.lit, names)))
     return found.where((F.size("domains") >= 3) & some(V.STRUCTURE) & some(V.RESULTS)).select("doc_id", "page")

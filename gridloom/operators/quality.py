@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import colour
+from ..functions.text import colour, norm_text, not_blank
 
 
 def colour_axis(items: DataFrame) -> DataFrame:
@@ -22,12 +22,25 @@ def colour_axis(items: DataFrame) -> DataFrame:
     return by_doc.select("doc_id", kind.alias("kind"), "n_colours", F.when(kind == "cross_cutting", F.col("stamped")).otherwise(F.expr("cast(array() as array<string>)")).alias("stamped"))
 
 
+def contents(domain: str = "domain", group_name: str = "group_name", text: str = "text") -> Column:
+    """An aggregate over items: a key of their multiset, whatever their order.
+
+    An item is its fields' JSON, in fixed order and without those that are null, hashed by SHA-256; the key sums two
+    60-bit parts of the hashes, so that no list of a document's items is gathered. Blank texts are no items; no group
+    is the group General."""
+    place = F.struct(F.col(domain).alias("domain"), F.coalesce(F.col(group_name), F.lit("General")).alias("group"), norm_text(text).alias("text"))
+    digest = F.when(not_blank(text), F.sha2(F.to_json(place), 256))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0))
+    return F.struct(part(1).alias("a"), part(16).alias("b"))
+
+
 def census(runs: DataFrame) -> DataFrame:
-    """runs: doc_id, pass, n_items, signature. doc_id, passes, same_count, same_signature, verdict."""
-    out = runs.groupBy("doc_id").agg(
-        F.count("*").alias("passes"), (F.min("n_items") == F.max("n_items")).alias("same_count"), (F.min("signature") == F.max("signature")).alias("same_signature")
-    )
-    stable = F.col("same_count") & F.col("same_signature")
+    """runs: doc_id, pass, n_items, signature, contents. doc_id, passes, same_count, same_signature, identical, verdict.
+
+    Passes that are identical are stable, whatever the order in which they name their groups."""
+    same = lambda c: F.min(c).eqNullSafe(F.max(c))
+    out = runs.groupBy("doc_id").agg(F.count("*").alias("passes"), same("n_items").alias("same_count"), same("signature").alias("same_signature"), same("contents").alias("identical"))
+    stable = F.col("identical") | (F.col("same_count") & F.col("same_signature"))
     return out.withColumn("verdict", F.when(~stable, "UNSTABLE").when(F.col("passes") >= 3, "STABLE").otherwise("TOO FEW PASSES"))
 
 

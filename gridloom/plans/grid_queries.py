@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab as V
 from ..functions.cells import label_of_item, split_cell
+from ..functions.headers import RANKED
 from ..functions.text import csv_cell
-from ..operators import layout, matching, quality
+from ..operators import coverage, layout, matching, quality
 from ..operators.fidelity import suggests_mismatch
 from .registry import load, registry
 
@@ -105,19 +107,55 @@ def colour_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.colour_axis(rows).withColumn("stamped", F.array_join("stamped", ","))
 
 
-@query("""
-WITH r AS (SELECT conv_id // 4 AS doc_id, conv_id, count(*) AS n_items, string_agg(role, ',' ORDER BY turn) AS signature FROM conversations GROUP BY ALL)
-SELECT doc_id, count(*) AS passes, min(n_items) = max(n_items) AS same_count, min(signature) = max(signature) AS same_signature,
-  CASE WHEN NOT (min(n_items) = max(n_items) AND min(signature) = max(signature)) THEN 'UNSTABLE' WHEN count(*) >= 3 THEN 'STABLE' ELSE 'TOO FEW PASSES' END AS verdict
-FROM r GROUP BY doc_id
-""")
+def census_sql(items: str) -> str:
+    """items: a query of doc_id, pass, signature, place and text, a row per item."""
+    return f"""
+WITH i AS ({items}), n AS (SELECT *, CASE WHEN regexp_matches(text, '\\S') THEN place || chr(1) || trim(regexp_replace(lower(text), '[\\s\\x0b]+', ' ', 'g')) END AS item FROM i),
+r AS (SELECT doc_id, pass, count(*) AS n_items, min(signature) AS signature, coalesce(string_agg(item, chr(2) ORDER BY item), '') AS contents FROM n GROUP BY doc_id, pass),
+v AS (SELECT doc_id, count(*) AS passes, min(n_items) = max(n_items) AS same_count, min(signature) IS NOT DISTINCT FROM max(signature) AS same_signature, min(contents) = max(contents) AS identical FROM r GROUP BY doc_id)
+SELECT *, CASE WHEN NOT (identical OR (same_count AND same_signature)) THEN 'UNSTABLE' WHEN passes >= 3 THEN 'STABLE' ELSE 'TOO FEW PASSES' END AS verdict FROM v
+"""
+
+
+@query(census_sql("SELECT conv_id // 4 AS doc_id, conv_id AS pass, string_agg(role, ',' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS signature, role AS place, text FROM conversations"))
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four conversations in a row as passes over one document."""
     signature = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
-    runs = load(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 4).alias("doc_id"), "conv_id").agg(F.count("*").alias("n_items"), signature.alias("signature"))
+    turns = load(spark, sf_dir, "conversations").withColumn("group_name", F.lit(None).cast("string"))
+    runs = turns.groupBy(F.floor(F.col("conv_id") / 4).alias("doc_id"), "conv_id").agg(F.count("*").alias("n_items"), signature.alias("signature"), quality.contents("role").alias("contents"))
     return quality.census(runs)
 
 
+@query(census_sql("SELECT n_chars AS doc_id, doc_id AS pass, lang AS signature, 'x' AS place, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"))
+def census_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal length as passes over one, their lines as items: copies are identical, in whatever order their lines stand."""
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = docs.select("n_chars", "doc_id", "lang", F.lit("x").alias("domain"), F.lit(None).cast("string").alias("group_name"), F.explode(F.split("text", "\n")).alias("text"))
+    runs = lines.groupBy("n_chars", "doc_id").agg(F.count("*").alias("n_items"), F.min("lang").alias("signature"), quality.contents().alias("contents"))
+    return quality.census(runs.select(F.col("n_chars").alias("doc_id"), "n_items", "signature", "contents"))
+
+
+GRID_WORDS = ("Short-Term", "outcomes", "Inputs:", "activities", "the", "Impact", "Outputs", "of", "long", "term", "medium_term", "REACH", "resources", "people", "general", "ultimate")
+RANKS = ", ".join(f"('{key}', '{domain}', {rank})" for key, (rank, domain) in RANKED.items())
+WORDINGS = "trim(regexp_replace(regexp_replace(lower(w), '[_/]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS o, list([{", ".join(map(repr, GRID_WORDS))}][l_partkey % 16 + 1] ORDER BY l_linenumber, l_partkey) AS ws FROM lineitem GROUP BY l_orderkey),
+w AS (SELECT DISTINCT o, {WORDINGS} AS n FROM (SELECT o, array_to_string(ws[i:i + k - 1], ' ') AS w FROM (SELECT o, ws, unnest(range(1, len(ws) + 1)) AS i FROM l), (VALUES (1), (2), (3)) t(k))),
+s(key, domain, rank) AS (VALUES {RANKS}), u AS (SELECT DISTINCT n, trim(regexp_replace(n, '[:.–—-]+$', '')) AS b FROM w),
+h AS (SELECT n, arg_min(domain, rank) AS domain FROM u JOIN s ON n = key OR starts_with(n, key || ' ') OR ends_with(n, ' ' || key) OR b = key GROUP BY n)
+SELECT o // 8 AS doc_id, CAST(o % 8 AS BIGINT) AS page FROM w JOIN h USING (n) GROUP BY o
+HAVING count(DISTINCT domain) >= 3 AND bool_or(domain IN ({", ".join(map(repr, V.STRUCTURE))})) AND bool_or(domain IN ({", ".join(map(repr, V.RESULTS))}))
+""")
+def grid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages, eight a document; each line is a word, by its part: the pages on which words name three columns or more."""
+    word = F.element_at(F.array(*map(F.lit, GRID_WORDS)), (F.col("l_partkey") % 16 + 1).cast("int"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", word.alias("w")).alias("x"))
+    pages = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]), " ").alias("text"))
+    return coverage.grid_pages(pages.select(F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8).alias("page"), "text"))
+
+
 STATUSES = ("pending", "converting", "detecting", "extracting", "editing", "completed", "error")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import latest_corrections
 from ..operators.sessions import is_busy
+from .store import KeyedStore
 
 CORRECTION = "item_key string, at timestamp, event_id long, to_domain string"
 STATE = "doc_id string, at timestamp, event_id long, status string"
@@ -33,21 +34,18 @@ def current_states(log: DataFrame) -> DataFrame:
     return last.withColumn("resumed", F.when(is_busy(F.col("status")), "pending").otherwise(F.col("status")))
 
 
-def keep_current(current: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each batch of changed rows to its own folder; current_rows() reads the last of each key.
+def keep_current(current: DataFrame, path: str, checkpoint: str, key: str = "item_key", **trigger) -> StreamingQuery:
+    """Save each batch of changed rows by key (store.py): a batch rewrites the buckets that its keys fall into.
 
-    A batch that is run again after a failure replaces its own folder, so its rows count once.
+    A batch that is run again after a failure counts once: it is skipped if it was committed, else written anew.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        KeyedStore(batch.sparkSession, path, key).put(batch, number)
 
     return current.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Of each key the row of the last batch."""
-    rows = spark.read.parquet(f"{path}/batch_id=*")
-    columns = [c for c in rows.columns if c not in ("batch", "batch_id", key)]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
-    return last.select(key, "r.*")
+def current_rows(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Of each key the row of the last batch that had it; each bucket is read as of its last batch alone. None before the first."""
+    return KeyedStore(spark, path, key).rows()
