@@ -49,9 +49,9 @@ def trim_names(rows: DataFrame) -> DataFrame:
 
 def split_items(rows: DataFrame) -> DataFrame:
     """Run-on cells of the grid become one item per part, with their parent's attributes."""
-    rows = rows.withColumn("parts", F.coalesce(F.when(in_grid() & (F.length(strip("text")) >= V.MIN_CELL), split_cell(F.col("text"))), F.array("text")))
-    rest = [c for c in rows.columns if c not in ("text", "parts", "item_ord")]
-    rows = rows.select(*rest, "item_ord", F.posexplode("parts").alias("piece_ord", "text"))
+    parts = F.coalesce(F.when(in_grid(), split_cell(F.col("text"))), F.array("text"))  # exploded as it is: a column of its own would be computed for a filter too
+    rest = [c for c in rows.columns if c not in ("text", "item_ord")]
+    rows = rows.select(*rest, "item_ord", F.posexplode(parts).alias("piece_ord", "text"))
     return rows.withColumn("item_ord", F.struct("item_ord", "piece_ord")).drop("piece_ord")
 
 

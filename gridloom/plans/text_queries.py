@@ -160,8 +160,9 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-on turns as their parts."""
     from ..functions.cells import split_cell
 
-    rows = load(spark, sf_dir, "conversations").withColumn("parts", F.coalesce(split_cell(F.col("text")), F.array("text")))
-    return rows.select("conv_id", "turn", F.posexplode("parts").alias("part", "text"))
+    parts = F.coalesce(split_cell(F.col("text")), F.array("text"))  # exploded as it is: a column of its own would be computed for a filter too
+    rows = load(spark, sf_dir, "conversations").repartition("conv_id", "turn")  # small rows, much work: dealt out however few row groups hold them
+    return rows.select("conv_id", "turn", F.posexplode(parts).alias("part", "text"))
 
 
 @query("""
