@@ -69,15 +69,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a bulky intermediate as Parquet to the shared folder and read it back.
+#: For tables whose rows take megabytes: the writer looks at what it holds after every row, not after a hundred, and closes a group of rows
+#: beyond 8 MB, which is also as much as a reader opens at once.
+LARGE_ROWS = {"parquet.block.size": 1 << 23, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Write a bulky intermediate as Parquet to the shared folder and read it back; options: of the writer.
 
     Like cut(), but columnar and compressed. The files go when the program ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     _TABLES.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_worker_caches, load, materialize
+from .common import LARGE_ROWS, cut, drop_worker_caches, load, materialize
 from .tokens import places
 
 #: What parts terms, and the letters that are lower-cased: bytes of the UTF-8 text.
@@ -100,7 +100,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         if doc_ids:
             yield _chunk(doc_ids, codes, list(index), n_docs, n_terms)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX))
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX), **LARGE_ROWS)
 
 
 def document_counts(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:

@@ -62,3 +62,16 @@ def test_query_and_empty_tables(spark, tmp_path):
     assert [(r["item_id"], r["rank"], r["doc_id"]) for r in rows] == [(0, k + 1, k) for k in range(20)]  # ties by doc_id
     for name, d, b in (("a", C.empty(spark), asked(spark, ["x"])), ("b", docs, asked(spark, ["x"]).limit(0))):
         assert T.op13_tiered_index_search(spark, C.write(spark, tmp_path / name, documents=d, benchmark=b)).count() == 0
+
+
+def test_large_rows_of_the_index_are_written_in_small_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    draw = random.Random(2)
+    rows = [(i, " ".join(f"{draw.getrandbits(40):x}" for _ in range(300_000))) for i in range(6)]
+    index = T.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 6, 1_800_000)
+    files = [f for name in index.inputFiles() for f in glob.glob(name.removeprefix("file:").replace("///", "/"))]
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(groups) == 6 and max(groups) <= 2
