@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_worker_caches, fresh, load, materialize, rewritten
-from .components import connected_components
+from .components import stars
 
 
 #: Words of a shingle; the least similarity is NUM / DEN.
@@ -405,9 +405,9 @@ def crossing_pairs(lists: DataFrame, components: DataFrame, sets: DataFrame, fre
         lists = deeper(lists, sets, frequent) if depth < DEEPEST else reordered(lists, sets)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, t, n, component_id, part of every row of ``docs``: t is xxhash64 of the text, n the size of its set, and part
-    the number of its component (null for an empty set)."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts). rows: doc_id, t, n, a of every row of ``docs``: t is xxhash64 of the text, n the size of its set and a the
+    first hash of it. parts: node, root, part of every set that is not empty: its hash, the smallest doc_id that has it, and the number of its component."""
     for seed in range(8):
         described = materialize(describe(docs, seed))
         rows = described.where("kind = 0")
@@ -425,15 +425,21 @@ def grouped(docs: DataFrame) -> DataFrame:
     sets = materialize(sets_of(docs, lists.select("node").distinct(), seed))
     tried = cut(hub_pairs(lists))
     links = cut(verified(tried, sets))
-    more = crossing_pairs(lists, connected_components(links), sets, frequent)
+    known = stars(links)
+    more = crossing_pairs(lists, known, sets, frequent)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(ordered(more).join(ordered(tried), ["a", "b"], "left_anti").distinct())
     found = cut(verified(more, sets))
-    parts = connected_components(links if found.isEmpty() else links.union(found))
-    parts = classes.select(F.col("a"), "root").join(parts, F.col("a") == F.col("node"), "left").select("a", "root", F.coalesce("component", "a").alias("part"))
-    least = cut(parts.groupBy("part").agg(F.min("root").alias("component_id")))  # so that the join splits
-    parts = parts.join(least.hint("merge"), "part").select(F.col("a").alias("node"), "part", "component_id")
-    return rows.join(parts, (F.col("n") > 0) & (F.col("a") == F.col("node")), "left").select("doc_id", "t", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "part")
+    if not found.isEmpty():
+        known = stars(known.toDF("a", "b").union(found))  # a star reaches what its links reach
+    parts = classes.select("a", "root").join(known, F.col("a") == F.col("node"), "left")
+    parts = cut(parts.select(F.col("a").alias("node"), "root", F.coalesce("component", "a").alias("part")))  # so that its joins split
+    return rows.select("doc_id", "t", "n", "a"), parts
+
+
+def with_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows with what ``parts`` has of their sets; nulls for empty sets."""
+    return rows.join(parts, (F.col("n") > 0) & (F.col("a") == F.col("node")), "left")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -444,7 +450,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     share a component whatever their number; a doc_id that repeats with other texts counts as so many documents. An
     empty table gives an empty result.
     """
-    return grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows, parts = grouped(docs)
+    least = cut(parts.groupBy("part").agg(F.min("root").alias("component_id")))  # so that the join splits
+    parts = parts.join(least.hint("merge"), "part").select("node", "component_id")
+    return with_parts(rows, parts).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -455,7 +464,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     group and stay. An empty table gives an empty result.
     """
     doc_id, t = fresh("kept_id", docs), fresh("kept_text", docs)
-    rows = grouped(docs.select("doc_id", "text"))
+    rows = materialize(with_parts(*grouped(docs.select("doc_id", "text"))).select("doc_id", "t", "part"))  # read twice
     heads = rows.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("m")).select("m.doc_id", "m.t")
     keep = heads.union(rows.where("part is null").select("doc_id", "t")).distinct().withColumnsRenamed({"doc_id": doc_id, "t": t})
     same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.xxhash64("text").eqNullSafe(F.col(t))
