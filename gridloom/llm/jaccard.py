@@ -21,7 +21,7 @@ Lists that are long even then are ordered anew by the frequencies among their ow
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ WORDS, NUM, DEN = 5, 4, 5
 #: Shingles of a task that are counted together, and frequent shingles that are put last. Which ones
 #: come last never changes a result, only the lengths of the lists.
 COUNTED, FREQUENT = 3_000_000, 200_000
+#: List entries after which a task hands them on, in one Arrow batch of some 6 MB, whatever the documents' lengths.
+HELD = 1 << 18
 #: Cost of comparing two sets, in keys written.
 COMPARE = 50
 #: Components of a list above which it is split by a further shingle, and shingles of a key until lists are ordered anew. Neither changes a result.
@@ -183,30 +185,35 @@ def list_entries(docs: DataFrame, frequent, light: int, seed: int) -> DataFrame:
     """The lists (ENTRY) in which each set stands. frequent: a broadcast array."""
 
     def run(batches):
-        often = frequent.value
+        often, held = frequent.value, 0
+        keys, nodes, sizes, places = [], [], [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, nodes, sizes, places = [], [], [], []
                 for text in batch.column(0).slice(at, 256).to_pylist():
+                    if held > HELD:
+                        yield entries(keys, nodes, sizes, places)
+                        keys, nodes, sizes, places, held = [], [], [], [], 0
                     s = shingle_hashes(text)
                     n = len(s)
                     if n < 2:
                         continue  # links to equal sets only
                     order, node, p = in_order(s, often), digest(s, seed)[0], n - at_least(n)
                     if n <= light:
-                        pairs = np.array(list(combinations(range(min(n, p + 2)), 2)))
-                        k = joined(order[pairs[:, 0]], order[pairs[:, 1]])
+                        i, j = np.triu_indices(min(n, p + 2), 1)
+                        k = joined(order[i], order[j])
                         keys.append(k)
-                        places.append((pairs[:, 1] - 1) * PLACE + 2)
+                        places.append(((j - 1) * PLACE + 2).astype(np.int32))
                         nodes.append(np.full(len(k), node, np.int64))
                         sizes.append(np.full(len(k), n, np.int32))
+                        held += len(k)
                     if DEN * n > NUM * light:
                         keys.append(order[: p + 1])
                         places.append(np.arange(p + 1) * PLACE + 1)
                         nodes.append(np.full(p + 1, node, np.int64))
                         sizes.append(np.full(p + 1, n, np.int32))
-                if keys:
-                    yield entries(keys, nodes, sizes, places)
+                        held += p + 1
+        if keys:
+            yield entries(keys, nodes, sizes, places)
 
     return docs.select("text").mapInArrow(run, ENTRY)
 
